@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from treeloom.llm import exact_dedup, mixing, quality_rules, simhash
+from treeloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op2_host_quality": quality_rules.op2_host_quality,
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op10_vector_packing": packing.op10_vector_packing,
 }
 ORACLES = {
     "op2_host_quality": quality_rules.verdicts_sql(),
