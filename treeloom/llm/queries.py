@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from treeloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from treeloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, secret_scan, simhash
 
 QUERIES = {
+    "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op2_host_quality": quality_rules.op2_host_quality,
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
+    "op4_license_join": license_scan.op4_license_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op10_vector_packing": packing.op10_vector_packing,
 }
 ORACLES = {
+    "op1_secret_ownership": secret_scan.scan_sql(),
+    "op4_license_join": license_scan.scan_sql(),
     "op2_host_quality": quality_rules.verdicts_sql(),
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
