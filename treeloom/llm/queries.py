@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, secret_scan, simhash
+from treeloom.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, secret_scan, simhash, token_files, warc_zst
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_license_join": license_scan.op4_license_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_token_arrow": token_files.op7_token_arrow,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_warc_dictionary": warc_zst.op9_warc_dictionary,
     "op10_vector_packing": packing.op10_vector_packing,
 }
 ORACLES = {
