@@ -1,0 +1,76 @@
+from llm.tables import CLASH, documents, ids, rows
+
+from treeloom.llm import quality_rules as Q
+
+CLEAN = "A plain sentence about nothing much, written with care and some variety."
+
+
+def verdict(spark, data, **params):
+    return {(r["doc_id"], r["host"]): r for r in Q.verdicts(documents(spark, data, clash=True), **params).collect()}
+
+
+def test_each_rule(spark):
+    data = [
+        (1, CLEAN),
+        (2, "oddly### marked$$$ words&&& all%%% over### this$$$ one&&&"),
+        (3, "buy!! now!! or!! never!! please!!"),
+        (4, "SHOUTING ALL OF THE TIME ABOUT IT"),
+        (5, "again again again again again again"),
+        (6, "\n".join(["same line here"] * 6)),
+        (7, "short"),
+        (8, "1234 5678 9012 3456 7890 1234"),
+        (9, " ".join(["x" * 30 + str(i) for i in range(25)])),
+    ]
+    got = {k[0]: v["failed"] for k, v in verdict(spark, data).items()}
+    assert got[1] == ""
+    assert "symbols" in got[2] and "exclaim" in got[3] and "shout" in got[4] and "stutter" in got[5]
+    assert "lines" in got[6] and "short" in got[7] and "few_letters" in got[8] and "long_words" in got[9]
+
+
+def test_null_empty_and_blank_texts_fail_and_null_hosts_count(spark):
+    got = verdict(spark, [(1, None, None), (2, "", None), (None, " \n\t ", "h"), (4, CLEAN, None)])
+    assert [got[1, ""]["failed"], got[2, ""]["failed"], got[None, "h"]["failed"]] == ["empty"] * 3
+    assert not got[1, ""]["keep"] and got[4, ""]["keep"]
+
+
+def test_clean_documents_survive_a_bad_host_and_soft_failures_do_not(spark):
+    data = [(i, "bad!! bad!! bad!! bad!!", "spam") for i in range(60)]
+    data += [(100, CLEAN, "spam"), (101, "short", "spam")]
+    data += [(200 + i, CLEAN, f"good{i % 4}") for i in range(80)] + [(300, "short", "good1")]
+    got = verdict(spark, data)
+    assert got[100, "spam"]["host_verdict"] == "bad" and got[100, "spam"]["keep"]
+    assert not got[101, "spam"]["keep"]
+    assert got[300, "good1"]["host_verdict"] == "good" and got[300, "good1"]["keep"]
+
+
+def test_rates_shrink_by_the_fitted_prior(spark):
+    data = [(1, "x!! y!!", "tiny")]
+    data += [(10 + i, CLEAN if i % 5 else "x!! y!!", "a") for i in range(100)]
+    data += [(200 + i, CLEAN if i % 4 else "x!! y!!", "b") for i in range(100)]
+    rates = {r["host"]: r for r in Q.host_rates(Q.flagged(documents(spark, data))).collect()}
+    p = [1.0, 0.2, 0.25]  # their spread leaves room for a prior
+    mean = sum(p) / 3
+    var = sum((x - mean) ** 2 for x in p) / 2
+    strength = max(0.0, mean * (1 - mean) / var - 1)
+    want = (1 + mean * strength) / (1 + strength)
+    assert abs(rates["tiny"]["rate_any"] - want) < 1e-6 and rates["tiny"]["rate_any"] < 1
+
+
+def test_one_host_shrinks_fully(spark):
+    got = Q.host_rates(Q.flagged(documents(spark, [(1, CLEAN), (2, "x!! y!!")]))).collect()
+    assert len(got) == 1 and got[0]["rate_any"] == 0.5
+
+
+def test_filter_keeps_columns_and_repeats_and_reads_whole_texts(spark):
+    long = (CLEAN + "\n") * 1 + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(60_000))
+    late = long + " !!!" * 40_000
+    data = [(1, CLEAN), (1, CLEAN), (2, long), (3, late)]
+    df = documents(spark, data, clash=True)
+    out = Q.filter_documents(df)
+    assert out.columns == df.columns and ids(out) == [1, 1, 2]
+    assert out.first()["keep"] == "x-keep" and set(CLASH) <= set(out.columns)
+
+
+def test_empty_table(spark):
+    assert rows(Q.verdicts(documents(spark, []))) == []
+    assert rows(Q.filter_documents(documents(spark, []))) == []
