@@ -15,11 +15,14 @@ Defined results: null or blank text fails the hard rule ``empty``; a null host
 counts as the host ``''``; repeated rows are measured and returned each; an
 empty table gives an empty table; other columns, whatever their names, pass
 through :func:`filter_documents` untouched.  A single host, or hosts that all
-have one rate, shrink fully to the common rate.
+have one rate, shrink fully to the common rate; hosts whose rates spread wider
+than any beta distribution keep their own.
 
 The measurements are computed in both passes rather than stored, so neither
 pass shuffles text: the first moves a few counts per host and task, the second
-joins the host table (broadcast by Spark only below its size threshold).
+joins the host table, which is broadcast while it has at most
+``BROADCAST_HOSTS`` rows (counted) and joined by Spark's choice, with adaptive
+splitting of hot hosts, beyond.
 """
 
 from __future__ import annotations
@@ -27,23 +30,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.plans.staging import materialize
+
 HARD = ("empty", "symbols", "exclaim", "shout", "stutter")
 SOFT = ("lines", "short", "long_words", "few_letters")
 RULES = HARD + SOFT
-NEVER = 1_000_000.0
+#: Weight of the prior, in documents, where all hosts have one rate.
+ALWAYS = 1_000_000.0
+#: Host tables up to so many rows are broadcast.
+BROADCAST_HOSTS = 200_000
 SYMBOLS = "#$%&*|<>{}~^\\_=+@"
+SYMBOL_CLASS = "[" + "".join(f"\\{c}" for c in SYMBOLS) + "]+"
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    spaced = F.translate(body, "\n\t\r\f", "    ")
     return docs.select(
         "*",
-        F.array_remove(F.split(spaced, " "), "").alias("__words"),
+        F.array_remove(F.split(body, "[ \n\t\r\f]+"), "").alias("__words"),
         F.split(body, "\n").alias("__lines"),
         F.length(body).alias("__chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).alias("__sym"),
-        (F.length(body) - F.length(F.translate(body, "!", ""))).alias("__bang"),
+        (F.length(body) - F.length(F.regexp_replace(body, SYMBOL_CLASS, ""))).alias("__sym"),
+        (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).alias("__bang"),
         (F.length(body) - F.length(F.regexp_replace(body, r"\p{Lu}+", ""))).alias("__upper"),
         (F.length(body) - F.length(F.regexp_replace(body, r"\p{L}+", ""))).alias("__letters"),
     ).select(
@@ -120,7 +128,7 @@ def host_rates(flags: DataFrame, host: str = "source", bad: float = 0.4, watch:
 
 def _shrunk(kind: str) -> Column:
     m, v = F.col(f"m_{kind}"), F.col(f"v_{kind}")
-    strength = F.when((v > 1e-12) & (v < m * (1 - m)), m * (1 - m) / v - 1).otherwise(F.lit(NEVER))
+    strength = F.when(v > 1e-12, F.greatest(m * (1 - m) / v - 1, F.lit(0.0))).otherwise(F.lit(ALWAYS))
     return F.round((F.col(f"n_{kind}") + m * strength) / (F.col("docs") + strength), 6)
 
 
@@ -130,6 +138,9 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", bad: float
     hosts = host_rates(flagged(narrow, "__text"), "__source", bad, watch).select(
         F.col("host").alias("__host"), F.col("rate_any").alias("__rate"), F.col("host_verdict").alias("__verdict")
     )
+    hosts = materialize(hosts, "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
     own = flagged(docs, text).withColumn("__host", F.coalesce(F.col(host), F.lit("")))
     hard = F.greatest(*[F.col(f"__f_{r}") for r in HARD])
     soft = sum((F.col(f"__f_{r}").cast("int") for r in SOFT), F.lit(0))
@@ -187,7 +198,7 @@ def verdicts_sql(table: str = "documents", bad: float = 0.4, watch: float = 0.25
         f"round((n_{k} + m_{k} * s_{k}) / (docs + s_{k}), 6)"
     )
     strength = lambda k: (
-        f"case when v_{k} > 1e-12 and v_{k} < m_{k} * (1 - m_{k}) then m_{k} * (1 - m_{k}) / v_{k} - 1 else {NEVER} end as s_{k}"
+        f"case when v_{k} > 1e-12 then greatest(m_{k} * (1 - m_{k}) / v_{k} - 1, 0.0) else {ALWAYS} end as s_{k}"
     )
     return f"""
 with base as (select *, coalesce(text, '') as body from {table}),
