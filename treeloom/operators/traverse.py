@@ -88,28 +88,55 @@ def bfs(start_ids: list[str], nodes: DataFrame, edges: DataFrame, depth: int = 2
 def cycle_members(edges: DataFrame, relations=DEPENDENCIES, source: str = "source", target: str = "target") -> DataFrame:
     """``(id)`` of every node that lies on a cycle (self-loops too).
 
-    Nodes without a way in or out are trimmed round by round, which removes
-    everything acyclic outside the paths between cycles; reachability among what is
-    left, doubled in length each round, then tells members from mere connections.
+    Strongly connected components by colouring (Orzan, 2004): after nodes without a
+    way in or out are trimmed, each node takes the largest id that reaches it; those
+    that reach the node of their colour backwards, within the colour, are its
+    component.  Components are taken out and the rest is coloured again.  Memory is
+    linear in the edges, whatever the size of a component; rounds follow the
+    graph's diameter.
     """
     chosen = allowed(edges, relations) if relations is not None else edges
-    live = materialize(chosen.select(F.col(source).alias("u"), F.col(target).alias("v")).distinct(), "live")
+    whole = chosen.select(F.col(source).alias("u"), F.col(target).alias("v")).distinct()
+    live = materialize(whole, "live")
+    found = live.filter("u = v").select(F.col("u").alias("id"))
+    live = _trim(materialize(live.filter("u <> v"), "live"))
+    while not live.isEmpty():
+        colors = _colors(live)
+        inside = live.join(colors.select(F.col("id").alias("u"), "color"), "u").join(colors.select(F.col("id").alias("v"), F.col("color").alias("c")), "v").filter("color = c")
+        inside = materialize(inside.select("u", "v"), "colored")
+        frontier = taken = materialize(colors.filter("id = color"), "taken")
+        while not frontier.isEmpty():
+            step = inside.join(frontier.select(F.col("id").alias("v"), "color"), "v").select(F.col("u").alias("id"), "color").distinct()
+            frontier = materialize(step.join(taken.select("id"), "id", "left_anti"), "taken")
+            taken = taken.unionByName(frontier)
+        sizes = taken.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.union(taken.join(sizes, "color", "left_semi").select("id"))
+        gone = taken.select("id")
+        rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
+        live = _trim(materialize(rest.select("u", "v"), "live"))
+    return found.distinct()
+
+
+def _trim(live: DataFrame) -> DataFrame:
+    """Edges left when nodes without a way in or without a way out are removed, again and again."""
     n = live.count()
     while n:
-        both = live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")).distinct(), "x", "left_semi")
-        both = materialize(both, "both-ways")
+        both = materialize(live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")).distinct(), "x", "left_semi"), "both-ways")
         kept = live.join(both.withColumnRenamed("x", "u"), "u", "left_semi").join(both.withColumnRenamed("x", "v"), "v", "left_semi")
         live = materialize(kept.select("u", "v"), "live")
         m = live.count()
         if m == n:
             break
         n = m
-    paths, n = live, live.count()
-    while n:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v"))
-        paths = materialize(paths.union(longer).distinct(), "paths")
-        m = paths.count()
-        if m == n:
-            break
-        n = m
-    return paths.filter("u = v").select(F.col("u").alias("id"))
+    return live
+
+
+def _colors(live: DataFrame) -> DataFrame:
+    """``(id, color)``: the largest id from which each node can be reached, itself included."""
+    colors = frontier = materialize(live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("color", F.col("id")), "colors")
+    while not frontier.isEmpty():
+        offered = live.join(frontier.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.max("color").alias("offered"))
+        marked = materialize(colors.join(offered, "id", "left").select("id", F.greatest("color", "offered").alias("color"), (F.col("offered") > F.col("color")).alias("moved")), "colors")
+        frontier = marked.filter("moved").select("id", "color")
+        colors = marked.select("id", "color")
+    return colors
