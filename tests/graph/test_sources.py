@@ -1,0 +1,133 @@
+import io
+import json
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from treeloom.build import build_from_folder
+from treeloom.functions import naming, schemas
+from treeloom.sources import trees, type_server
+from treeloom.streaming import arrivals
+
+
+def git(folder, *args):
+    subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.com", "-C", str(folder), *args], check=True, capture_output=True)
+
+
+class LocalMirrors(trees.Mirrors):
+    origin = None
+
+    def url(self, repo):
+        return str(self.origin)
+
+
+@pytest.fixture
+def origin(tmp_path):
+    folder = tmp_path / "origin"
+    folder.mkdir()
+    git(folder, "init", "-q", "-b", "main")
+    (folder / "a.py").write_text("def a(): pass\n")
+    git(folder, "add", ".")
+    git(folder, "commit", "-qm", "one")
+    return folder
+
+
+def head(folder):
+    return subprocess.run(["git", "-C", str(folder), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+
+
+def test_snapshots_fetch_and_unknown_commits(origin, tmp_path):
+    mirrors = LocalMirrors(tmp_path / "mirrors")
+    mirrors.origin = origin
+    tree = mirrors.extract("acme/demo", head(origin), tmp_path / "one")
+    assert sorted(p.name for p in tree.iterdir()) == ["a.py"] and mirrors.path("acme/demo").name == "acme__demo"
+    (origin / "b.py").write_text("def b(): pass\n")
+    git(origin, "add", ".")
+    git(origin, "commit", "-qm", "two")
+    git(mirrors.path("acme/demo"), "config", "remote.origin.fetch", "+refs/heads/*:refs/heads/*")
+    assert (mirrors.extract("acme/demo", head(origin), tmp_path / "two") / "b.py").exists()
+    with pytest.raises(ValueError, match="no commit"):
+        mirrors.extract("acme/demo", "0" * 40, tmp_path / "three")
+
+
+def test_tree_scan_skips_folders(spark, tmp_path):
+    for name in ("pkg/m.py", "docs/x.py", "pkg/migrations/y.py", "vendor/z.py", "pkg/data.txt", "tests/test_m.py"):
+        path = tmp_path / "tree" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"def f():\r\n    return '\xff'\r\n")
+    files = trees.read_tree(spark, tmp_path / "tree", "acme/demo", "c1")
+    assert sorted(r["path"] for r in files.collect()) == ["pkg/m.py", "tests/test_m.py"]
+    graph = build_from_folder(spark, tmp_path / "tree", "acme/demo", "c1")
+    assert graph.meta.first()["parsed_count"] == 2 and graph.find_function_by_name("f").count() == 2
+
+
+def test_hover_types(spark):
+    cases = [
+        ("(variable) s: Session", "Session"), ("(variable) s: `Session`", "Session"), ("s: str", None), ("s: A | B", None), ("s: Unknown", None), ("s: None", None), ("s: Any", None),
+        ("Session", None), ("s: ", None), ("s: list of X", None), ("(method) m: x: Parser", "Parser"), (None, None), ("s: _Private", "_Private"), ("s:\n Session\n", "Session"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["h"] for r in df.select("i", naming.hover_type(F.col("t")).alias("h")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_names_as_columns(spark):
+    row = spark.range(1).select(
+        naming.module_name(F.lit("a/b.py")).alias("m"), naming.module_name(F.lit("")).alias("e"), naming.module_name(F.lit(None).cast("string")).alias("n"), naming.short_id("file_", F.lit("x")).alias("i"),
+        naming.is_test_path(F.lit("a/contest.py")).alias("no"), naming.is_test_path(F.lit("test/a.py")).alias("yes"), naming.is_constant_name(F.lit("A_1")).alias("c"), naming.is_constant_name(F.lit("_1")).alias("d"),
+        naming.test_target_candidates(F.lit("test_a_b")).alias("t"),
+    ).first()
+    assert (row["m"], row["e"], row["n"], row["no"], row["yes"], row["c"], row["d"], row["t"]) == ("a.b", "", "", False, True, True, False, ["a_b", "a"])
+    import hashlib
+
+    assert row["i"] == hashlib.md5(b"file_x").hexdigest()[:8]
+
+
+def frame(**message):
+    body = json.dumps(message).encode()
+    return b"Content-Length: %d\r\nContent-Type: x\r\n\r\n" % len(body) + body
+
+
+def test_rpc_skips_other_messages_and_gives_up():
+    reader = io.BytesIO(frame(method="diagnostics") + frame(id=1, result={"contents": "x: Session"}))
+    writer = io.BytesIO()
+    link = type_server.Connection(reader, writer)
+    assert type_server.hover_text(link.ask("textDocument/hover", {})) == "x: Session"
+    sent = writer.getvalue()
+    assert sent.startswith(b"Content-Length: ") and b'"id": 1' in sent
+    assert link.ask("again", {}) is None
+    noise = type_server.Connection(io.BytesIO(frame(method="n") * (type_server.PATIENCE + 5)), io.BytesIO())
+    assert noise.ask("x", {}) is None
+
+
+def test_hover_texts():
+    assert type_server.hover_text({"result": {"contents": {"value": "a: B"}}}) == "a: B"
+    assert [type_server.hover_text(x) for x in (None, {}, {"result": None}, {"result": {}}, {"result": {"contents": ["x"]}})] == [None] * 5
+
+
+def test_without_a_server_there_are_no_types(spark, monkeypatch):
+    monkeypatch.setattr(type_server, "COMMAND", ("no-such-server",))
+    assert not type_server.available()
+    files = spark.createDataFrame([("r", "c", "m.py", "x = f()\n")], schemas.FILES)
+    sites = spark.createDataFrame([("r", "c", "m.py", 0, 0)], "repo string, commit string, path string, line int, col int")
+    assert type_server.resolve_types(files, sites).collect() == []
+
+
+def test_stream_of_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    rows = lambda *r: spark.createDataFrame(list(r), schemas.FILES).coalesce(1).write.mode("append").parquet(str(folder))
+    rows(("r", "c", "a.py", "def a():\n    pass\n"))
+    stream = spark.readStream.schema(schemas.FILES).parquet(str(folder))
+    options = {"checkpointLocation": str(tmp_path / "state")}
+    run = lambda: arrivals.graph_stream(stream, str(tmp_path / "files"), str(tmp_path / "graphs")).options(**options).trigger(availableNow=True).start().awaitTermination()
+    run()
+    rows(("r", "c", "b.py", "from a import a\n\ndef b():\n    a()\n"), ("r", "c", "a.py", "def a():\n    return 1\n"))
+    run()
+    from treeloom.sources.store import load_graph
+
+    graph = load_graph(spark, str(tmp_path / "graphs"), "r", "c")
+    assert graph.edges.filter("relation = 'calls'").count() == 1 and graph.find_function_by_name("a").first()["source_code"].endswith("return 1\n")
+    query = arrivals.parse_stream(stream).writeStream.format("memory").queryName("parsed_rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.sql("select count(*) n from parsed_rows where kind = 'entity'").first()["n"] == 7
