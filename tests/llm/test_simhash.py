@@ -109,6 +109,11 @@ def test_nulls_empties_repeats_and_long_texts(spark):
     assert out.columns == df.columns and ids(out) == [None, None, 1, 2, 3, 4, 6]
 
 
+def test_keys_grow_with_the_corpus():
+    assert S.sizing(0) == S.sizing(1 << 24) == (14, 24) and S.sizing(1 << 36) == (64, 36)
+    assert [S.sizing(1 << n)[1] for n in (25, 30)] == [25, 30]
+
+
 def test_empty_table(spark):
     assert rows(S.near_duplicates(documents(spark, []))) == []
     assert rows(S.keep_one(documents(spark, []))) == []

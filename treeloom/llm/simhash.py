@@ -37,6 +37,7 @@ through :func:`keep_one` untouched.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -345,9 +346,21 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 20, tables: int = 14, key_bits: int = 24) -> DataFrame:
+def sizing(documents: int) -> tuple[int, int]:
+    """Number of tables and bits of a key for a corpus.
+
+    Up to ``2**24`` documents 14 tables of 24 bits; beyond, one bit more for each
+    doubling, so that chance meetings per document stay as many, and more tables,
+    so that recall stays above 0.9 (measured in the README).
+    """
+    key_bits = max(24, math.ceil(math.log2(max(1, documents))))
+    return math.ceil(14 * 1.135 ** (key_bits - 24)), key_bits
+
+
+def near_duplicates(docs: DataFrame, radius: int = 20, tables: int | None = None, key_bits: int | None = None) -> DataFrame:
     """``(doc_id, keep_id)`` for every document that a smaller id of its group stands for."""
-    samples = sample_tables(tables, key_bits)
+    sized = sizing(docs.select("doc_id").count()) if tables is None or key_bits is None else (tables, key_bits)
+    samples = sample_tables(*(given or default for given, default in zip((tables, key_bits), sized)))
     same = Window.partitionBy("hi", "lo")
     prints = fingerprints(docs, samples)
     prints = materialize(prints.withColumn("first", F.min("doc_id").over(same)), "prints")
