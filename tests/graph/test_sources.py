@@ -102,7 +102,7 @@ def test_rpc_skips_other_messages_and_gives_up():
 
 
 def test_hover_texts():
-    assert type_server.hover_text({"result": {"contents": {"value": "a: B"}}}) == "a: B"
+    assert type_server.hover_text(dict(result=dict(contents=dict(value="a: B")))) == "a: B"
     assert [type_server.hover_text(x) for x in (None, {}, {"result": None}, {"result": {}}, {"result": {"contents": ["x"]}})] == [None] * 5
 
 

@@ -20,3 +20,9 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", list(graph_queries.QUERIES))
 def test_query_equals_its_oracle(spark, sf, name):
     oracle.same(spark, graph_queries.QUERIES[name], graph_queries.ORACLES[name], sf)
+
+
+def test_public_names():
+    import treeloom
+
+    assert all(callable(getattr(treeloom, name)) for name in treeloom.__all__)

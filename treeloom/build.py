@@ -67,7 +67,7 @@ class Builder:
     def save(self, graph: CodeGraph) -> None:
         store.save_graph(graph, self.folder)
 
-    def load(self, repo: str, commit: str) -> CodeGraph | None:
+    def load(self, repo, commit) -> CodeGraph | None:
         return store.load_graph(self.spark, self.folder, repo, commit)
 
     def load_or_build(self, repo: str, commit: str) -> CodeGraph:

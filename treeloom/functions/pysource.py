@@ -75,9 +75,10 @@ def self_target(target: ast.AST) -> str | None:
 
 
 def called(call: ast.Call) -> str | None:
-    if isinstance(call.func, ast.Name):
-        return call.func.id
-    return call.func.attr if isinstance(call.func, ast.Attribute) else None
+    match call.func:
+        case ast.Name(id=name) | ast.Attribute(attr=name):
+            return name
+    return None
 
 
 def receiver(call: ast.Call) -> str | None:
@@ -135,13 +136,12 @@ def factory_sites(fn: Function) -> list[tuple[int, int, str | None]]:
     for node in scope(fn):
         if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call):
             name = called(node.value)
-            if name and not name[0].isupper():
-                for target in node.targets:
-                    if isinstance(target, ast.Name):
-                        out.append((target.lineno - 1, target.col_offset, None))
-                    elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name):
-                        owner = target.value.id
-                        out.append((target.lineno - 1, target.end_col_offset - len(target.attr), None if owner == "self" else owner))
+            for target in node.targets if name and not name[0].isupper() else ():
+                match target:
+                    case ast.Name(lineno=line, col_offset=col):
+                        out.append((line - 1, col, None))
+                    case ast.Attribute(value=ast.Name(id=owner), attr=attr, lineno=line, end_col_offset=end):
+                        out.append((line - 1, end - len(attr), None if owner == "self" else owner))
     return out
 
 
@@ -363,14 +363,15 @@ def imported(node: ast.Import | ast.ImportFrom) -> Iterator[tuple[str, str, str
 def module_info(tree: ast.Module) -> tuple[dict[str, str], list[str], dict[str, str]]:
     """Imports by local name, ``__all__``, and upper-case constants."""
     imports, exports, constants = {}, [], {}
-    for node in ast.iter_child_nodes(tree):
+    for node in tree.body:
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             imports |= {local: full for local, full, _, _ in imported(node)}
             continue
         targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) and node.value else []
         for name in (t.id for t in targets if isinstance(t, ast.Name)):
-            if name == "__all__" and isinstance(node, ast.Assign) and isinstance(node.value, (ast.List, ast.Tuple)):
-                exports = [e.value for e in node.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+            listed = getattr(node.value, "elts", None) if isinstance(node.value, ast.List | ast.Tuple) else None
+            if name == "__all__" and isinstance(node, ast.Assign) and listed is not None:
+                exports = [e.value for e in listed if isinstance(e, ast.Constant) and isinstance(e.value, str)]
             elif name.isupper() and (text := source_of(node.value)):
                 constants[name] = text
     return imports, exports, constants
@@ -397,13 +398,13 @@ class _File:
         self.id = entity_id(f"file_{repo}_{path}")
         name = PurePosixPath(path).name
         self.entity(self.id, "test_file" if in_tests(path) else "file", name, path=path, constants=constants, exports=exports)
-        for node in ast.iter_child_nodes(tree):
-            if isinstance(node, (ast.Import, ast.ImportFrom)):
+        for node in tree.body:
+            if isinstance(node, ast.Import | ast.ImportFrom):
                 for _, full, module, short in imported(node):
                     key = entity_id(f"import_{repo}_{full}")
                     self.entity(key, "import", full, module=module, name=short)
                     self.edge(self.id, key, "imports")
-        for node in ast.iter_child_nodes(tree):
+        for node in tree.body:
             if isinstance(node, ast.ClassDef):
                 self.add_class(node)
             elif isinstance(node, FUNCTIONS):

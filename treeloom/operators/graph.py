@@ -34,7 +34,7 @@ class CodeGraph:
     def functions(self) -> DataFrame:
         return self.nodes.filter(F.col("type").isin(*schemas.CALLABLE))
 
-    def find_file_by_path(self, path: str, exact: bool = False) -> DataFrame:
+    def find_file_by_path(self, path, exact=False) -> DataFrame:
         """Files whose path is, or contains, ``path``; case matters."""
         return self.files().filter((F.col("path") == path) if exact else F.coalesce("path", F.lit("")).contains(path))
 

@@ -257,6 +257,17 @@ def resolve_hierarchy(raw: DataFrame, nodes: DataFrame, inherits: DataFrame) ->
     return _edge(_found(over, found), "overrides", 0), _edge(_found(above, found), "calls", 1, confidence="qualified", via="super")
 
 
+def guessed_targets(tests: DataFrame, known: DataFrame) -> DataFrame:
+    """``(repo, commit, id, target_label)``: for each test the longest known name that its own begins with.
+
+    ``test_send_with_timeout`` aims at ``send_with_timeout``, else ``send_with``, else ``send``.
+    ``known`` has ``repo, commit, label``.
+    """
+    tried = tests.select(*SNAP, "id", F.posexplode(naming.test_target_candidates(F.col("label"))).alias("pos", "target_label"))
+    names = known.select(*SNAP, F.col("label").alias("target_label")).distinct()
+    return tried.join(names, [*SNAP, "target_label"], "left_semi").groupBy(*SNAP, "id").agg(F.min_by("target_label", "pos").alias("target_label"))
+
+
 def derived_tests(calls: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
     """A test function tests what it calls, unless its name says so already."""
     tests = nodes.filter("type = 'test_function'").select(*SNAP, F.col("id").alias("source"))

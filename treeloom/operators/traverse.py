@@ -14,9 +14,9 @@ from treeloom.plans.staging import materialize
 
 BOTH = ("outgoing", "incoming")
 #: Relations that a context is cut out along, unless others are asked for.
-CONTEXT_RELATIONS = ("contains", "calls", "accesses", "inherits", "tests", "uses")
+CONTEXT_RELATIONS = ("accesses", "calls", "contains", "inherits", "tests", "uses")
 #: Relations in which a cycle is worth a warning.
-DEPENDENCIES = ("calls", "accesses", "inherits", "uses", "overrides", "module_depends_on")
+DEPENDENCIES = ("accesses", "calls", "inherits", "module_depends_on", "overrides", "uses")
 
 
 def allowed(edges: DataFrame, relations) -> DataFrame:
@@ -121,7 +121,7 @@ def _trim(live: DataFrame) -> DataFrame:
     """Edges left when nodes without a way in or without a way out are removed, again and again."""
     n = live.count()
     while n:
-        both = materialize(live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")).distinct(), "x", "left_semi"), "both-ways")
+        both = live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")), "x", "left_semi")
         kept = live.join(both.withColumnRenamed("x", "u"), "u", "left_semi").join(both.withColumnRenamed("x", "v"), "v", "left_semi")
         live = materialize(kept.select("u", "v"), "live")
         m = live.count()

@@ -8,12 +8,14 @@ that what parsing and resolution must find follows from the tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.build import build_graph
 from treeloom.operators.graph import CodeGraph
-from treeloom.plans.staging import shared_dir
+from treeloom.plans.staging import materialize, shared_dir
 
 REPO, COMMIT = "gen/demo", "c1"
 
@@ -80,12 +82,25 @@ def _braced(sql: str, used: dict[str, DataFrame]) -> str:
     return out
 
 
+_GRAPHS: dict[tuple[str, str, str, str], CodeGraph] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], CodeGraph]) -> CodeGraph:
+    """A graph that is made once in a session and kept in the shared folder, like a stored graph."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = make()
+    return _GRAPHS[key]
+
+
 def relational_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    return CodeGraph(_views(spark, sf_dir, NODES_SQL), _views(spark, sf_dir, EDGES_SQL))
+    make = lambda: CodeGraph(materialize(_views(spark, sf_dir, NODES_SQL), "star-nodes"), materialize(_views(spark, sf_dir, EDGES_SQL), "star-edges"))
+    return _kept(spark, sf_dir, "star", make)
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    return CodeGraph(_views(spark, sf_dir, PART_NODES_SQL), _views(spark, sf_dir, PART_EDGES_SQL))
+    make = lambda: CodeGraph(materialize(_views(spark, sf_dir, PART_NODES_SQL), "part-nodes"), materialize(_views(spark, sf_dir, PART_EDGES_SQL), "part-edges"))
+    return _kept(spark, sf_dir, "parts", make)
 
 
 def relational_ctes(nodes: str = NODES_SQL, edges: str = EDGES_SQL) -> str:
@@ -170,18 +185,14 @@ def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = spark.range(1).select(F.lit("core/base.py").alias("path"), F.lit(BASE).alias("content"))
     whole = base.unionByName(regions).unionByName(nations).unionByName(tests).unionByName(customers)
-    return whole.select(F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("commit"), "path", "content")
-
-
-_GRAPHS: dict[tuple[str, str, str], CodeGraph] = {}
+    # the tables have one small file each; parsing is spread over all cores
+    spread = whole.repartition(2 * spark.sparkContext.defaultParallelism, "path")
+    return spread.select(F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("commit"), "path", "content")
 
 
 def generated_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The resolved graph of the generated sources; built once in a session and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = build_graph(generated_files(spark, sf_dir))
-    return _GRAPHS[key]
+    """The resolved graph of the generated sources."""
+    return _kept(spark, sf_dir, "generated", lambda: build_graph(generated_files(spark, sf_dir)))
 
 
 def generated_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from treeloom.functions import naming
 from treeloom.operators import annotate, diffs, document, parse, traverse, validate
 from treeloom.operators.context import extract_contexts, seeds_of
 from treeloom.operators.graph import CodeGraph
+from treeloom.operators.resolve import guessed_targets as resolve_guesses
 from treeloom.operators.resolve import nearest_methods
 from treeloom.plans import projections as P
 
@@ -122,6 +123,22 @@ def test_target_candidates(spark, sf_dir):
     return P.table(spark, sf_dir, "part").select("p_partkey", F.array_join(naming.test_target_candidates(name), ",").alias("candidates"))
 
 
+@query(
+    """select o_orderkey, arg_max(target, n) as target_label from (
+       select o_orderkey, unnest(['1_urgent', '2_high', '3_medium', '4_not_specified', '4_not', '5_low', '5']) as target,
+              lower(replace(o_orderpriority, '-', '_')) || '_' || o_orderkey as name, length(target) as n from orders)
+       where starts_with(replace(name, ' ', '_'), target || '_') group by o_orderkey"""
+)
+def guessed_targets(spark, sf_dir):
+    """Tests named after an order's priority; several priorities share a beginning."""
+    orders = P.table(spark, sf_dir, "orders")
+    name = F.replace(F.replace(F.lower("o_orderpriority"), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
+    snap = {"repo": F.lit(""), "commit": F.lit("")}
+    tests = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("test_"), name, F.lit("_"), "o_orderkey").alias("label")).withColumns(snap)
+    known = spark.createDataFrame([(x,) for x in ("1_urgent", "2_high", "3_medium", "4_not_specified", "4_not", "5_low", "5")], "label string").withColumns(snap)
+    return resolve_guesses(tests, known).select(F.col("id").alias("o_orderkey"), "target_label")
+
+
 # --- one-hop joins
 
 
@@ -632,7 +649,7 @@ def _contexts(spark, sf_dir):
 
 
 CONTEXT = f"""{GEN},
-chosen as (select * from gedges where relation in ('contains', 'calls', 'accesses', 'inherits', 'tests', 'uses')),
+chosen as (select * from gedges where relation in ('accesses', 'calls', 'contains', 'inherits', 'tests', 'uses')),
 hops as (select source as a, target as b from chosen union select target, source from chosen),
 starts as (select s::varchar as instance_id, 'nations/nation_' || n || '.py::supplier_' || s as name from supp),
 one as (select instance_id, b as name from starts join hops on a = name),

@@ -41,14 +41,12 @@ class Connection:
         self.writer.flush()
 
     def receive(self) -> dict | None:
-        length = 0
-        while (line := self.reader.readline()) not in (b"\r\n", b"\n"):
-            if not line:
-                return None
-            name, _, value = line.partition(b":")
+        length, line = 0, b""
+        while header := (line := self.reader.readline()).strip():
+            name, _, value = header.partition(b":")
             if name.strip().lower() == b"content-length":
                 length = int(value)
-        return json.loads(self.reader.read(length)) if length else None
+        return json.loads(self.reader.read(length)) if line and length else None
 
     def notify(self, method: str, params: dict) -> None:
         self.send(method=method, params=params)
@@ -71,23 +69,24 @@ def hover_text(response: dict | None) -> str | None:
 
 def hovers(root: Path, sites: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, int, int, str]]:
     """Hover texts at all sites of a source tree, from one server process."""
-    process = subprocess.Popen(COMMAND, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    pipes = dict.fromkeys(("stdin", "stdout", "stderr"), subprocess.PIPE)
+    process = subprocess.Popen(COMMAND, **pipes)
     threading.Thread(target=lambda: [None for _ in iter(process.stderr.readline, b"")], daemon=True).start()
     try:
         link, uri = Connection(process.stdout, process.stdin), root.resolve().as_uri()
         # Without a workspace folder the server looks at files one by one and knows less.
-        asked = {"textDocument": {"hover": {"contentFormat": ["plaintext"]}}, "workspace": {"workspaceFolders": True}}
-        link.ask("initialize", {"processId": None, "rootUri": uri, "workspaceFolders": [{"uri": uri, "name": root.name}], "capabilities": asked})
+        wanted = dict(workspace=dict(workspaceFolders=True), textDocument=dict(hover=dict(contentFormat=["plaintext"])))
+        link.ask("initialize", dict(capabilities=wanted, workspaceFolders=[dict(name=root.name, uri=uri)], rootUri=uri, processId=None))
         link.notify("initialized", {})
         for path, places in sites.items():
             file = root / path
-            own = file.resolve().as_uri()
-            link.notify("textDocument/didOpen", {"textDocument": {"uri": own, "languageId": "python", "version": 1, "text": file.read_text("utf-8", "replace")}})
+            own = dict(uri=file.resolve().as_uri())
+            link.notify("textDocument/didOpen", dict(textDocument=own | dict(text=file.read_text("utf-8", "replace"), version=1, languageId="python")))
             for line, col in places:
-                text = hover_text(link.ask("textDocument/hover", {"textDocument": {"uri": own}, "position": {"line": line, "character": col}}))
+                text = hover_text(link.ask("textDocument/hover", dict(position=dict(character=col, line=line), textDocument=own)))
                 if text:
                     yield path, line, col, text
-            link.notify("textDocument/didClose", {"textDocument": {"uri": own}})
+            link.notify("textDocument/didClose", dict(textDocument=own))
         link.ask("shutdown", {})
         link.notify("exit", {})
     finally:
