@@ -21,10 +21,10 @@ def brute_rules(text):
     letters = sum(c.isalpha() for c in text)
     return {
         "empty": n == 0,
-        "symbols": sum(c in Q.SYMBOLS for c in text) * 5 > n,
-        "exclaim": text.count("!") * 4 > n,
-        "shout": sum(c.isupper() for c in text) * 2 > letters,
-        "stutter": n >= 5 and sum(a == b for a, b in zip(words, words[1:])) * 5 > n,
+        "symbols": (symbols := sum(c in Q.SYMBOLS for c in text)) >= 3 and symbols * 5 > n,
+        "exclaim": text.count("!") >= 2 and text.count("!") * 4 > n,
+        "shout": n >= 3 and sum(c.isupper() for c in text) * 2 > letters,
+        "stutter": (again := sum(a == b for a, b in zip(words, words[1:]))) >= 3 and again * 5 > n,
         "lines": len(lines) >= 5 and len(set(lines)) * 10 < len(lines) * 7,
         "short": 0 < n < 3,
         "long_words": n >= 20 and len(text) > n * 16,
@@ -69,6 +69,7 @@ def fixture():
     for _ in range(10):
         rows.append([len(rows), " ".join(w + "###" for w in prose(30).split()), "b"])
         rows.append([len(rows), "so! so! loud! this! is!", "c"])
+    rows += [list(rows[3]), list(rows[3]), list(rows[45])]  # repeated rows
     rows += [[500, None, "b"], [501, "", None], [502, "two words", "b"], [503, prose(6000), "hot"], [None, prose(90), "c"], [504, prose(70), None]]
     return [tuple(r) for r in rows]
 

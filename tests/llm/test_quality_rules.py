@@ -24,6 +24,8 @@ def test_each_rule(spark):
     got = {k[0]: v["failed"] for k, v in verdict(spark, data).items()}
     assert got[1] == ""
     assert "symbols" in got[2] and "exclaim" in got[3] and "shout" in got[4] and "stutter" in got[5]
+    short = [(11, "A"), (12, "key = x"), (13, "Well! fine."), (14, "so of of of it"), (15, "reach +1 (555) 010-0199 a@b.example.com")]
+    assert not any(r["failed"] not in ("", "short", "few_letters") for r in verdict(spark, short).values())
     assert "lines" in got[6] and "short" in got[7] and "few_letters" in got[8] and "long_words" in got[9]
 
 

@@ -39,7 +39,7 @@ RULES = HARD + SOFT
 ALWAYS = 1_000_000.0
 #: Host tables up to so many rows are broadcast.
 BROADCAST_HOSTS = 200_000
-SYMBOLS = "#$%&*|<>{}~^\\_=+@"
+SYMBOLS = "#$%&*|<>{}~^\\"
 SYMBOL_CLASS = "[" + "".join(f"\\{c}" for c in SYMBOLS) + "]+"
 
 
@@ -79,14 +79,17 @@ def _repeats(words: Column) -> Column:
 
 
 def rule_conditions() -> dict[str, Column]:
-    """What breaks each rule, in integers only."""
+    """What breaks each rule, in integers only.
+
+    Rates need a few occurrences besides, since one sign says little of a short text.
+    """
     n, letters = F.col("__n"), F.col("__letters")
     return {
         "empty": n == 0,
-        "symbols": F.col("__sym") * 5 > n,
-        "exclaim": F.col("__bang") * 4 > n,
-        "shout": F.col("__upper") * 2 > letters,
-        "stutter": (n >= 5) & (F.col("__again") * 5 > n),
+        "symbols": (F.col("__sym") >= 3) & (F.col("__sym") * 5 > n),
+        "exclaim": (F.col("__bang") >= 2) & (F.col("__bang") * 4 > n),
+        "shout": (n >= 3) & (F.col("__upper") * 2 > letters),
+        "stutter": (F.col("__again") >= 3) & (F.col("__again") * 5 > n),
         "lines": (F.col("__nl") >= 5) & (F.col("__dl") * 10 < F.col("__nl") * 7),
         "short": (n > 0) & (n < 3),
         "long_words": (n >= 20) & (F.col("__chars") > n * 16),
@@ -180,10 +183,10 @@ def op2_host_quality(spark, sf_dir: str) -> DataFrame:
 
 _CONDITIONS_SQL = {
     "empty": "n = 0",
-    "symbols": "sym * 5 > n",
-    "exclaim": "bang * 4 > n",
-    "shout": "up * 2 > letters",
-    "stutter": "n >= 5 and again * 5 > n",
+    "symbols": "sym >= 3 and sym * 5 > n",
+    "exclaim": "bang >= 2 and bang * 4 > n",
+    "shout": "n >= 3 and up * 2 > letters",
+    "stutter": "again >= 3 and again * 5 > n",
     "lines": "nl >= 5 and dl * 10 < nl * 7",
     "short": "n > 0 and n < 3",
     "long_words": "n >= 20 and chars > n * 16",
