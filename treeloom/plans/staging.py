@@ -6,7 +6,9 @@ local mode without the setting (tests) gets a temporary one.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,10 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _LOCAL_DIR:
-        _LOCAL_DIR[app] = Path(tempfile.mkdtemp(prefix="treeloom-")).as_uri()
+        _LOCAL_DIR[app] = Path(_scratch("treeloom-")).as_uri()
     return _LOCAL_DIR[app]
 
 
+def _scratch(prefix: str) -> str:
+    """A folder of the driver that goes with its process."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/treeloom-{label}-{uuid.uuid4().hex[:12]}"
 
@@ -69,7 +78,7 @@ def ship(spark: SparkSession) -> None:
     if _SHIPPED.get(context.applicationId):
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="treeloom-pkg-")) / "treeloom_pkg.zip"
+    target = Path(_scratch("treeloom-pkg-")) / "treeloom_pkg.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, os.path.join(root.name, source.relative_to(root)))
