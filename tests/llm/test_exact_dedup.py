@@ -54,6 +54,10 @@ def test_long_texts_differ_in_their_last_character(spark):
     assert rows(D.duplicates(documents(spark, [(1, long + "a"), (2, long + "b"), (3, long + "a")]))) == [(3, 1)]
 
 
+def test_rounds_grow_with_the_corpus():
+    assert [D.rounds_for(n, 8) for n in (0, 64_000_000, 64_000_001, 50_000_000_000)] == [2, 2, 3, 6]
+
+
 def test_empty_table(spark):
     assert rows(D.duplicates(documents(spark, []))) == []
     assert rows(D.deduplicate(documents(spark, []))) == []

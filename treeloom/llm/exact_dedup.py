@@ -14,8 +14,9 @@ partition ever holds more than its share, unlike a merge that ends in one
 process.
 
 Only digests travel, never text.  A round is one shuffle by exact partition
-number, so ``rounds`` shuffles of about 60 bytes a document; ``fan_in`` of 8
-reaches 4,096 partitions in four rounds.
+number, so ``rounds`` shuffles of about 60 bytes a document.  Unless it is given,
+``rounds`` follows the counted documents, so that a partition ends with about a
+million of them at most (two rounds of fan-in 8 up to 64 million).
 
 Defined results: a null text equals only null texts and an empty text only
 empty ones; ids are compared as numbers, and a null id loses against any other;
@@ -56,6 +57,14 @@ def _digit(value: Column, place: int, fan_in: int) -> Column:
     return F.pmod(F.floor(value / F.lit(fan_in**place)), F.lit(fan_in)).cast("int")
 
 
+def rounds_for(documents: int, fan_in: int) -> int:
+    """Rounds after which ``fan_in ** rounds`` partitions hold a million documents each; two at least."""
+    rounds = 2
+    while fan_in**rounds * 1_000_000 < documents:
+        rounds += 1
+    return rounds
+
+
 def tree_merge(runs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
     """Merge entries down to one row for each text, with the smallest id in ``keep_id``.
 
@@ -79,16 +88,16 @@ def tree_merge(runs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
     return state.select(*ENTRY, "keep_id")
 
 
-def _members(docs: DataFrame, fan_in: int, rounds: int, digest: Callable[[Column], Column]) -> DataFrame:
+def _members(docs: DataFrame, fan_in: int, rounds: int | None, digest: Callable[[Column], Column]) -> DataFrame:
     """Stored ``(doc_id, digest, keep_id, n)`` of all texts that occur more than once."""
     run = materialize(entries(docs, digest=digest), "digests")
-    kept = tree_merge(run, fan_in, rounds)
+    kept = tree_merge(run, fan_in, rounds or rounds_for(run.count(), fan_in))
     pairs = run.join(kept, ENTRY).groupBy("doc_id", "digest", "check", "keep_id").agg(F.count(F.lit(1)).alias("n"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return materialize(pairs.filter(~same | (F.col("n") > 1)).select("doc_id", "digest", "keep_id", "n", same.alias("same")), "copies")
 
 
-def duplicates(docs: DataFrame, fan_in: int = 8, rounds: int = 2, digest: Callable[[Column], Column] = fast_digest) -> DataFrame:
+def duplicates(docs: DataFrame, fan_in: int = 8, rounds: int | None = None, digest: Callable[[Column], Column] = fast_digest) -> DataFrame:
     """``(doc_id, dup_of)`` for each document that repeats the text of a smaller id.
 
     A row beyond the first with one id and text is listed with ``dup_of`` equal
@@ -99,7 +108,7 @@ def duplicates(docs: DataFrame, fan_in: int = 8, rounds: int = 2, digest: Callab
     return found.select("doc_id", F.col("keep_id").alias("dup_of"), F.explode(F.array_repeat(F.lit(0), times)).alias("__k")).drop("__k")
 
 
-def deduplicate(docs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, fan_in: int = 8, rounds: int | None = None) -> DataFrame:
     """``docs`` without the rows whose text a smaller id (or an equal row) already has.
 
     The list of dropped rows is joined by Spark's choice: broadcast while it is

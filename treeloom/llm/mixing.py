@@ -11,7 +11,8 @@ the number of documents.
 Expected copies are fixed-point integers (``2**-32`` of a copy), so sums are
 exact, in any order, and the result does not depend on partitioning.  The prefix
 sum is done in two levels: the hash splits every source into ``2**chunk_bits``
-chunks of about equal size, chunk totals are summed along a source (a few rows
+chunks of about equal size (1,024, or more where the corpus has above a billion
+documents), chunk totals are summed along a source (a few rows
 a source), and documents are summed within their chunk.  A hot source is thus
 spread over all executors.
 
@@ -25,6 +26,8 @@ broken by the id.  Other columns pass through :func:`mix_documents` untouched.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +61,7 @@ def source_rates(totals: DataFrame, weights: dict[str, float] | None, epochs: fl
     return weighed.filter("chars > 0 and weight > 0").crossJoin(F.broadcast(budget)).select("source", rate.alias("rate"), noise.alias("offset"))
 
 
-def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED, chunk_bits: int = 10) -> DataFrame:
+def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED, chunk_bits: int | None = None) -> DataFrame:
     """``(doc_id, source, copies)`` of every document that is emitted at least once."""
     sized = docs.select(
         "doc_id",
@@ -67,11 +70,16 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: flo
     )
     units = sized.groupBy("source", "doc_id").agg(F.sum("chars").alias("chars"))
     units = materialize(units.withColumn("key", _key(seed)), "units")
+    if chunk_bits is None:
+        chunk_bits = max(10, math.ceil(math.log2(max(1, units.count()) / 1_000_000)))
     rates = source_rates(units.groupBy("source").agg(F.sum("chars").alias("chars")), weights, epochs, seed)
     chunked = units.select("source", "doc_id", "key", F.shiftright("key", 60 - chunk_bits).cast("int").alias("chunk"))
     along = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunked.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.join(rates, "source").withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)) * F.col("rate") + F.col("offset")).drop("n")
+    # Crossings depend on the sum modulo one copy only, so no sum outgrows a long.
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    sum_before = F.coalesce(F.sum("n").over(along), F.lit(0)).cast("decimal(18,0)") * wide("rate") + wide("offset")
+    starts = starts.join(rates, "source").withColumn("before", F.pmod(sum_before, F.lit(ONE)).cast("long")).drop("n")
     within = Window.partitionBy("source", "chunk").orderBy("key", F.col("doc_id").asc_nulls_first())
     placed = chunked.join(starts, ["source", "chunk"]).withColumn(
         "upto", F.col("before") + F.sum("rate").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
