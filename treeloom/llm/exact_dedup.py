@@ -28,12 +28,14 @@ one id and one text but different other columns one is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.plans.staging import materialize
+from treeloom.plans.staging import materialize, ship
 
 ENTRY = ["digest", "check", "bytes"]
 
@@ -46,9 +48,9 @@ def entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest:
     """``(doc_id, digest, check, bytes)`` of every document; bytes is -1 for a null text."""
     body = F.col(text)
     return docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(doc_id).cast("long").alias("doc_id"),
         digest(body).alias("digest"),
-        F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(b"")).alias("check"),
+        F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(bytes(32))).alias("check"),
         F.coalesce(F.octet_length(body).cast("long"), F.lit(-1).cast("long")).alias("bytes"),
     )
 
@@ -65,6 +67,43 @@ def rounds_for(documents: int, fan_in: int) -> int:
     return rounds
 
 
+def merge_runs(digest: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Row numbers of one merged run: sorted by digest, one row for each text, with its smallest id.
+
+    The rows are sorted runs one after another, as a shuffle delivers them; the
+    stable sort finds the runs and merges them.  Where digests meet, the check
+    (four 64-bit words) and the size decide what is one text; ``missing`` marks null
+    ids, which lose.
+    """
+    order = np.argsort(digest, kind="stable")
+    met = digest[order]
+    again = np.concatenate([[False], met[1:] == met[:-1]])
+    shared = again | np.append(again[1:], False)
+    some = order[shared]
+    # within equal digests: by check and size, then the id that stays comes first
+    some = some[np.lexsort((ids[some], missing[some], size[some], *check[some].T, digest[some]))]
+    order[shared] = some
+    same = np.zeros(len(order), bool)
+    same[1:] = (digest[order][1:] == digest[order][:-1]) & (size[order][1:] == size[order][:-1]) & (check[order][1:] == check[order][:-1]).all(axis=1)
+    return order[~same]
+
+
+_RUN = "digest long, check binary, bytes long, keep_id long, slot int"
+
+
+def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of a partition as one."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    digest, size = table.column("digest").to_numpy(), table.column("bytes").to_numpy()
+    check = np.frombuffer(b"".join(table.column("check").to_pylist()), np.int64).reshape(-1, 4)
+    missing = table.column("keep_id").is_null().to_numpy(zero_copy_only=False)
+    ids = table.column("keep_id").fill_null(0).to_numpy()
+    yield from table.take(pa.array(merge_runs(digest, check, size, ids, missing))).to_batches()
+
+
 def tree_merge(runs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
     """Merge entries down to one row for each text, with the smallest id in ``keep_id``.
 
@@ -72,19 +111,14 @@ def tree_merge(runs: DataFrame, fan_in: int = 8, rounds: int = 2) -> DataFrame:
     digits.  It starts as the partition that read the document and ends as the
     range of its digest, one digit a round.
     """
+    ship(runs.sparkSession)
     slots = fan_in**rounds
     target = F.pmod(F.xxhash64("digest"), F.lit(slots)).cast("int")
-    state = runs.select(*ENTRY, F.col("doc_id").alias("keep_id"), F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot"))
+    start = runs.select(*ENTRY, F.col("doc_id").alias("keep_id"), F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot"))
+    state = start.mapInArrow(_level, _RUN)
     for place in range(rounds):
-        weight = fan_in**place
-        moved = F.col("slot") + (_digit(target, place, fan_in) - _digit(F.col("slot"), place, fan_in)) * F.lit(weight)
-        state = (
-            state.select(*ENTRY, "keep_id", moved.cast("int").alias("slot"))
-            .repartitionById(slots, F.col("slot"))
-            .sortWithinPartitions("slot", *ENTRY)
-            .groupBy("slot", *ENTRY)
-            .agg(F.min("keep_id").alias("keep_id"))
-        )
+        moved = F.col("slot") + (_digit(target, place, fan_in) - _digit(F.col("slot"), place, fan_in)) * F.lit(fan_in**place)
+        state = state.select(*ENTRY, "keep_id", moved.cast("int").alias("slot")).repartitionById(slots, F.col("slot")).mapInArrow(_level, _RUN)
     return state.select(*ENTRY, "keep_id")
 
 
