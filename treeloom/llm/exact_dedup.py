@@ -5,7 +5,7 @@ Each input partition turns its documents into one sorted run of entries
 it and the length of the text.  The runs are then exchanged in binomial rounds:
 in round *r* partition *p* keeps the entries whose *r*-th digest digit equals
 its own *r*-th digit and sends the others to the partitions that differ from it
-in that digit alone.  Every receiver merges the ``fan_in`` runs it now holds and
+in that digit alone.  Every receiver merges the runs it now holds, in one pass, and
 of entries with one digest, one check and one length keeps the smallest
 document id.  Entries that share a digest but not the check are different texts
 and are all kept.  After ``rounds`` rounds partition *p* owns the digest range
@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.plans.staging import materialize, ship
