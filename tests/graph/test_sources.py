@@ -131,3 +131,72 @@ def test_stream_of_files(spark, tmp_path):
     query = arrivals.parse_stream(stream).writeStream.format("memory").queryName("parsed_rows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select count(*) n from parsed_rows where kind = 'entity'").first()["n"] == 7
+
+
+SERVER = '''
+import json, sys
+
+def read():
+    length = 0
+    while (line := sys.stdin.buffer.readline()).strip():
+        if line.lower().startswith(b"content-length"):
+            length = int(line.split(b":")[1])
+    return json.loads(sys.stdin.buffer.read(length)) if length else None
+
+def write(**message):
+    body = json.dumps(message).encode()
+    sys.stdout.buffer.write(b"Content-Length: %d\\r\\n\\r\\n" % len(body) + body)
+    sys.stdout.buffer.flush()
+
+opened = {}
+print("ready", file=sys.stderr)
+while (m := read()) and m["method"] != "exit":
+    if m["method"] == "textDocument/didOpen":
+        doc = m["params"]["textDocument"]
+        opened[doc["uri"]] = doc["text"].split("\\n")
+    elif m["method"] == "textDocument/hover":
+        p = m["params"]
+        write(method="window/logMessage", params={})
+        line = opened[p["textDocument"]["uri"]][p["position"]["line"]]
+        name = line[p["position"]["character"]:].split(" ")[0]
+        write(id=m["id"], result={"contents": {"value": f"(variable) {name}: {name.title()}"}} if name != "lost" else None)
+    elif "id" in m:
+        write(id=m["id"], result={})
+'''
+
+
+def test_a_server_is_asked_about_every_site(tmp_path, monkeypatch):
+    import sys
+
+    script = tmp_path / "server.py"
+    script.write_text(SERVER)
+    tree = tmp_path / "tree"
+    (tree / "pkg").mkdir(parents=True)
+    (tree / "pkg" / "m.py").write_text("session = make()\nlost = make()\n    parser = build()\n")
+    monkeypatch.setattr(type_server, "COMMAND", (sys.executable, str(script)))
+    got = list(type_server.hovers(tree, {"pkg/m.py": [(0, 0), (1, 0), (2, 4)]}))
+    assert got == [("pkg/m.py", 0, 0, "(variable) session: Session"), ("pkg/m.py", 2, 4, "(variable) parser: Parser")]
+
+
+def test_types_reach_the_graph_through_tasks(spark, tmp_path, monkeypatch):
+    """The whole way with a server on the workers' path."""
+    import os
+    import stat
+    import sys
+
+    folder = tmp_path / "bin"
+    folder.mkdir()
+    server = folder / "tl-test-server"
+    server.write_text(f"#!{sys.executable}\n" + SERVER)
+    server.chmod(server.stat().st_mode | stat.S_IEXEC)
+    monkeypatch.setattr(type_server, "COMMAND", (str(server),))
+    assert type_server.available() and os.access(server, os.X_OK)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(type_server)  # so that workers see the replaced command
+    try:
+        files = spark.createDataFrame([("r", "c", "m.py", "class Session:\n    pass\nclass A:\n    def f(self):\n        self.session = make()\n")], schemas.FILES)
+        sites = spark.createDataFrame([("r", "c", "m.py", 4, 13)], "repo string, commit string, path string, line int, col int")
+        assert [tuple(r) for r in type_server.resolve_types(files, sites).collect()] == [("r", "c", "m.py", 4, 13, "Session")]
+    finally:
+        cloudpickle.unregister_pickle_by_value(type_server)
