@@ -8,7 +8,9 @@ def test_tables_are_written_to_the_configured_folder_and_released(spark):
     plain = lambda uri: "/" + uri.removeprefix("file:").lstrip("/")
     folder = plain(df.inputFiles()[0].rsplit("/", 1)[0])
     assert df.count() == 10 and folder.startswith(plain(spark.conf.get("spark.checkpoint.dir")))
+    assert staging.exists(df)
     staging.release(df)
+    assert not staging.exists(df)
     import os
 
     assert "treeloom-some-" in folder and not os.path.exists(folder)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from treeloom.build import build_graph
 from treeloom.operators.graph import CodeGraph
-from treeloom.plans.staging import materialize, shared_dir
+from treeloom.plans.staging import exists, materialize, shared_dir
 
 REPO, COMMIT = "gen/demo", "c1"
 
@@ -88,7 +88,7 @@ _GRAPHS: dict[tuple[str, str, str, str], CodeGraph] = {}
 def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], CodeGraph]) -> CodeGraph:
     """A graph that is made once in a session and kept in the shared folder, like a stored graph."""
     key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
-    if key not in _GRAPHS:
+    if key not in _GRAPHS or not (exists(_GRAPHS[key].nodes) and exists(_GRAPHS[key].edges)):
         _GRAPHS[key] = make()
     return _GRAPHS[key]
 

@@ -60,16 +60,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> list:
+    """The staged folders that a table reads, as pairs of file system and path."""
+    context = df.sparkSession.sparkContext
+    conf = context._jsc.hadoopConfiguration()
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if "/treeloom-" in f]
+    return [(p.getFileSystem(conf), p) for p in paths]
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether all files of a table that :func:`materialize` wrote are still there."""
+    return all(fs.exists(path) for fs, path in _folders(df))
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/treeloom-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for fs, path in _folders(df):
+        fs.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
