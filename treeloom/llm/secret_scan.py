@@ -21,6 +21,14 @@ the owner ``''`` and a null language as ``''``; a value that occurs several time
 in a document is one row with its number of occurrences; rows that repeat an id
 add up; an empty table gives an empty table; other columns are not looked at.
 Values are reported as SHA-256 only.
+
+The value of a private key is the whole of its body, from the BEGIN to the END
+line, without headers, white space and escaped line ends, so a key has one hash
+however it is wrapped; blocks of fewer than 16 characters are no candidates.  A
+key without its END line is its lines of base64 as far as they go.
+
+``scan_sql`` is a narrower statement of the same: it takes the first line of a
+key.
 """
 
 from __future__ import annotations
@@ -31,7 +39,19 @@ from pyspark.sql import functions as F
 from treeloom.plans.staging import materialize
 
 _ASSIGN = r"\b(?i:api_?key|access_?key|secret|token|passwd|password|pwd)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
-#: Kinds with their patterns, in order of precedence; all are in the syntax that Java and RE2 share.
+# Private keys; white space and line ends may be escaped, as in JSON.  Possessive repeats, so that long texts need no stack.
+_BEGIN = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_END = r"-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\++[nrt])"
+_HEADERS = rf"(?:[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+{_GAP}*+)*+"
+_PEM_HEAD = rf"{_BEGIN}{_GAP}++{_HEADERS}"
+_PEM_WHOLE = rf"(?:[A-Za-z0-9+/=]|{_GAP})*+{_END}"
+_PEM_CUT = rf"[A-Za-z0-9+/=]{{16,}}+(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+(?=[ \t]*+(?:[\r\n\\\"']|\z)))*+"
+PRIVATE_KEY = rf"{_PEM_HEAD}(?:{_PEM_WHOLE}|{_PEM_CUT})"
+PRIVATE_KEY_REST = rf"^{_PEM_HEAD}|{_END}$|{_GAP}++"
+KEY_LENGTH = 16
+
+#: Kinds with their patterns, in order of precedence, as the SQL has them; all are in the syntax that Java and RE2 share.
 KINDS = (
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
@@ -42,18 +62,26 @@ KINDS = (
     ("assignment", _ASSIGN + r"[A-Za-z0-9_./+=~-]{8,}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: The patterns of the query.
+FOUND = tuple((name, PRIVATE_KEY if name == "private_key" else pattern) for name, pattern in KINDS)
+FOUND_ANY = "|".join(f"(?:{p})" for _, p in FOUND)
 #: What precedes the value in a match.
 LEAD = f"^(?:{_ASSIGN}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----\\s+)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|redacted|123456789|abcdefgh)"
 
 
 def _kind(match: Column) -> Column:
-    out = F.lit(KINDS[-1][0])
-    for name, pattern in reversed(KINDS[:-1]):
+    out = F.lit(FOUND[-1][0])
+    for name, pattern in reversed(FOUND[:-1]):
         out = F.when(match.rlike(f"^(?:{pattern})"), F.lit(name)).otherwise(out)
     return out
 
 
+def _value(match: Column) -> Column:
+    key = F.regexp_replace(match, PRIVATE_KEY_REST, "")
+    return F.when(match.rlike(f"^{_BEGIN}"), key).otherwise(F.regexp_replace(match, LEAD, ""))
+
+
 def _entropy(value: Column) -> Column:
     """Shannon entropy in bits a character, rounded to three places; characters are summed in order."""
     letters = F.array_sort(F.array_distinct(F.split(value, "")))
@@ -68,15 +96,15 @@ def candidates(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce(F.col("source"), F.lit("")).alias("owner"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-        F.explode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("match"),
+        F.explode(F.regexp_extract_all("text", F.lit(FOUND_ANY), F.lit(0))).alias("match"),
     )
     valued = found.select(
         "doc_id",
         "owner",
         F.concat("owner", F.lit("/"), "lang").alias("repository"),
         _kind(F.col("match")).alias("kind"),
-        F.regexp_replace("match", LEAD, "").alias("value"),
-    )
+        _value(F.col("match")).alias("value"),
+    ).filter((F.col("kind") != "private_key") | (F.length("value") >= KEY_LENGTH))
     return valued.groupBy("doc_id", "owner", "repository", "kind", "value").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
