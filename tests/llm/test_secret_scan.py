@@ -84,3 +84,19 @@ def test_private_keys_are_told_apart_by_their_whole_body(spark):
     assert got[11, sha(keys[0])]["n_docs"] == got[12, sha(keys[0])]["n_docs"] == 3
     assert (20, sha(keys[1][:128])) in got and (22, sha("A" * 2_000_000)) in got
     assert len(got) == 8
+
+
+def test_a_value_is_one_secret_whatever_stood_before_it(spark):
+    tokens = {"github_token": "ghp_" + "a1B2" * 9, "aws_key": KEY, "slack_token": "xoxb-998877665544-qwertyuiop", "google_key": "AIza" + "Sy0_" * 8 + "abc", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJ"}
+    for n, (kind, value) in enumerate(tokens.items()):
+        data = [(1, f'token = "{value}" and {value}', "a"), (2, value, "b"), (3, f"secret: {value}.", "c"), (4, f"see {value} there", "d")]
+        for owners, verdict in ((2, "shared"), (4, "widely_copied")):
+            got = S.scan(documents(spark, data[:owners])).collect()
+            assert {r["secret_hash"] for r in got} == {sha(value)} and len(got) == owners
+            assert {(r["kind"], r["n_owners"], r["n_docs"], r["verdict"]) for r in got} == {(kind, owners, owners, verdict)}
+            assert {r["doc_id"]: r["occurrences"] for r in got}[1] == 2
+
+
+def test_a_body_assigned_elsewhere_counts_as_the_key(spark):
+    got = S.scan(documents(spark, [(1, pem(HEX), "a"), (2, f"token={HEX}", "b")])).collect()
+    assert {(r["kind"], r["n_owners"], r["verdict"]) for r in got} == {("private_key", 2, "shared")}

@@ -27,8 +27,12 @@ line, without headers, white space and escaped line ends, so a key has one hash
 however it is wrapped; blocks of fewer than 16 characters are no candidates.  A
 key without its END line is its lines of base64 as far as they go.
 
+A value is one secret whatever stood before it: an assigned token is cut to what
+its pattern finds where it stands alone, spread is counted by the value, and its
+kind is the first in precedence that any of its occurrences has.
+
 ``scan_sql`` is a narrower statement of the same: it takes the first line of a
-key.
+key, and counts by kind and value.
 """
 
 from __future__ import annotations
@@ -65,21 +69,29 @@ ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: The patterns of the query.
 FOUND = tuple((name, PRIVATE_KEY if name == "private_key" else pattern) for name, pattern in KINDS)
 FOUND_ANY = "|".join(f"(?:{p})" for _, p in FOUND)
+NAMES = [name for name, _ in FOUND]
+#: Patterns that a value shows by itself.
+TOKENS = tuple((name, pattern) for name, pattern in FOUND if name not in ("private_key", "assignment"))
+TOKEN = "^(?:" + "|".join(f"(?:{p})" for _, p in TOKENS) + ")"
 #: What precedes the value in a match.
 LEAD = f"^(?:{_ASSIGN}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----\\s+)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|redacted|123456789|abcdefgh)"
-
-
-def _kind(match: Column) -> Column:
-    out = F.lit(FOUND[-1][0])
-    for name, pattern in reversed(FOUND[:-1]):
-        out = F.when(match.rlike(f"^(?:{pattern})"), F.lit(name)).otherwise(out)
-    return out
+#: Four equal letters occur by chance in a body of thousands.
+KEY_PLACEHOLDER = PLACEHOLDER.replace("xxxx", "x{8}")
 
 
 def _value(match: Column) -> Column:
     key = F.regexp_replace(match, PRIVATE_KEY_REST, "")
-    return F.when(match.rlike(f"^{_BEGIN}"), key).otherwise(F.regexp_replace(match, LEAD, ""))
+    bare = F.regexp_replace(match, LEAD, "")
+    return F.when(match.rlike(f"^{_BEGIN}"), key).when(bare.rlike(TOKEN), F.regexp_extract(bare, TOKEN, 0)).otherwise(bare)
+
+
+def _rank(match: Column, value: Column) -> Column:
+    """The place of the kind in ``NAMES``."""
+    out = F.when(match.rlike(f"^{_BEGIN}"), NAMES.index("private_key")).otherwise(NAMES.index("assignment"))
+    for name, pattern in reversed(TOKENS):
+        out = F.when(value.rlike(f"^(?:{pattern})"), NAMES.index(name)).otherwise(out)
+    return out
 
 
 def _entropy(value: Column) -> Column:
@@ -91,33 +103,34 @@ def _entropy(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, owner, repository, kind, secret_hash, looks_live, placeholder, occurrences)``."""
+    """``(doc_id, owner, repository, value, rank, occurrences)``; ``rank`` is the place of the kind in ``NAMES``."""
     found = docs.select(
         "doc_id",
         F.coalesce(F.col("source"), F.lit("")).alias("owner"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.explode(F.regexp_extract_all("text", F.lit(FOUND_ANY), F.lit(0))).alias("match"),
     )
-    valued = found.select(
-        "doc_id",
-        "owner",
-        F.concat("owner", F.lit("/"), "lang").alias("repository"),
-        _kind(F.col("match")).alias("kind"),
-        _value(F.col("match")).alias("value"),
-    ).filter((F.col("kind") != "private_key") | (F.length("value") >= KEY_LENGTH))
-    return valued.groupBy("doc_id", "owner", "repository", "kind", "value").agg(F.count(F.lit(1)).alias("occurrences"))
+    valued = found.select("doc_id", "owner", F.concat("owner", F.lit("/"), "lang").alias("repository"), "match", _value(F.col("match")).alias("value"))
+    ranked = valued.select("doc_id", "owner", "repository", "value", _rank(F.col("match"), F.col("value")).alias("rank"))
+    kept = ranked.filter((F.col("rank") != NAMES.index("private_key")) | (F.length("value") >= KEY_LENGTH))
+    return kept.groupBy("doc_id", "owner", "repository", "value").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("occurrences"))
 
 
 def ownership(stored: DataFrame, copied_owners: int, min_length: int, min_entropy: float) -> DataFrame:
-    """One row for each secret: its spread over documents, repositories and owners, and the verdict."""
+    """One row for each secret: its kind, its spread over documents, repositories and owners, and the verdict."""
     value = F.col("value")
-    by_value = stored.groupBy("kind", "value").agg(
-        F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners")
+    by_value = stored.groupBy("value").agg(
+        F.min("rank").alias("rank"),
+        F.countDistinct("doc_id").alias("n_docs"),
+        F.countDistinct("repository").alias("n_repositories"),
+        F.countDistinct("owner").alias("n_owners"),
     )
-    measured = by_value.withColumn("entropy", _entropy(value))
+    kind = F.element_at(F.array(*map(F.lit, NAMES)), F.col("rank") + 1)
+    measured = by_value.select("*", kind.alias("kind"), _entropy(value).alias("entropy")).drop("rank")
     few = F.size(F.array_distinct(F.split(value, ""))) < 6
+    example = F.when(F.col("kind") == "private_key", value.rlike(KEY_PLACEHOLDER)).otherwise(value.rlike(PLACEHOLDER))
     verdict = (
-        F.when(value.rlike(PLACEHOLDER) | few, "placeholder")
+        F.when(example | few, "placeholder")
         .when(F.col("n_owners") >= copied_owners, "widely_copied")
         .when(F.col("n_owners") > 1, "shared")
         .when((F.length(value) >= min_length) & (F.col("entropy") >= min_entropy), "live_looking")
@@ -130,7 +143,7 @@ def scan(docs: DataFrame, copied_owners: int = 3, min_length: int = 16, min_entr
     """One row for each document and secret in it, with the secret's standing in the corpus."""
     stored = materialize(candidates(docs), "candidates")
     standing = ownership(stored, copied_owners, min_length, min_entropy)
-    return stored.join(standing, ["kind", "value"]).select(
+    return stored.drop("rank").join(standing, "value").select(
         "doc_id",
         "owner",
         "repository",
