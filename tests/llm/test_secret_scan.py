@@ -100,3 +100,20 @@ def test_a_value_is_one_secret_whatever_stood_before_it(spark):
 def test_a_body_assigned_elsewhere_counts_as_the_key(spark):
     got = S.scan(documents(spark, [(1, pem(HEX), "a"), (2, f"token={HEX}", "b")])).collect()
     assert {(r["kind"], r["n_owners"], r["verdict"]) for r in got} == {("private_key", 2, "shared")}
+
+
+def test_key_words_inside_names(spark):
+    forms = "aws_secret_access_key={} DB_PASSWORD={} client_secret:{} auth_token={} access_token={} SECRET_KEY={}".split()
+    forms += ['"client_secret": "{}"', "clientSecret = '{}'", "--github-token={}", "my.password2={}", "MYSQL_PWD={}", "x-api_key-prod: {}"]
+    values = [hashlib.sha256(f.encode()).hexdigest()[:40] for f in forms]
+    got = S.scan(documents(spark, [(i, "export " + f.format(v) + " # set") for i, (f, v) in enumerate(zip(forms, values))])).collect()
+    assert sorted((r["doc_id"], r["secret_hash"], r["kind"], r["verdict"]) for r in got) == [(i, sha(v), "assignment", "live_looking") for i, v in enumerate(values)]
+
+
+def test_names_do_not_hide_tokens_and_long_runs_are_read_once(spark):
+    long = "a" * 1_000_000
+    data = [(1, f"id-{KEY}-secret={HEX}"), (2, f"token-{KEY}={HEX}"), (3, f"{long}token{long}"), (4, "token" * 200_000), (5, f"{long} {long}_token_{long}={HEX}"), (6, "a-" * 500_000)]
+    hub = "ghp_" + "a1B2" * 9
+    data += [(7, f"auth_token=user/{hub}.{KEY}"), (8, f'SECRET_KEY="{pem(HEX)}"')]
+    got = sorted((r["doc_id"], r["secret_hash"]) for r in S.scan(documents(spark, data)).collect())
+    assert got == sorted([(7, sha(hub)), (7, sha(KEY)), (8, sha(HEX)), (1, sha(KEY)), (1, sha(HEX)), (2, sha(KEY)), (5, sha(HEX))])

@@ -27,12 +27,15 @@ line, without headers, white space and escaped line ends, so a key has one hash
 however it is wrapped; blocks of fewer than 16 characters are no candidates.  A
 key without its END line is its lines of base64 as far as they go.
 
-A value is one secret whatever stood before it: an assigned token is cut to what
-its pattern finds where it stands alone, spread is counted by the value, and its
+A value is one secret whatever stood before it: an assigned token is what its
+pattern finds where it stands alone, spread is counted by the value, and its
 kind is the first in precedence that any of its occurrences has.
 
+A name is that of a secret if it has one of the key words in any place
+(``aws_secret_access_key``, ``DB_PASSWORD``, ``clientSecret``).
+
 ``scan_sql`` is a narrower statement of the same: it takes the first line of a
-key, and counts by kind and value.
+key, counts by kind and value, and knows the bare key words only.
 """
 
 from __future__ import annotations
@@ -66,15 +69,20 @@ KINDS = (
     ("assignment", _ASSIGN + r"[A-Za-z0-9_./+=~-]{8,}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: What precedes the value in a match, in the SQL.
+LEAD = f"^(?:{_ASSIGN}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----\\s+)"
+#: Patterns that a value shows by itself.
+TOKENS = tuple((name, pattern) for name, pattern in KINDS if name not in ("private_key", "assignment"))
+_TOKEN = "(?:" + "|".join(f"(?:{p})" for _, p in TOKENS) + ")"
+# A name with a key word in it, taken whole; it starts where a run of its characters or the last match ends, so that a long run is read once.
+_NAME = r"(?>[A-Za-z0-9_-]*?(?i:api_?key|access_?key|secret|token|passwd|password|pwd)[A-Za-z0-9_-]*+)"
+_GIVEN = _NAME + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+# Tokens and keys in name or value are candidates themselves, not parts of an assignment.
+_ASSIGNMENT = rf"(?:(?<![A-Za-z0-9_-])|\G)(?={_GIVEN})(?![A-Za-z0-9_-]*?{_TOKEN}){_GIVEN}(?![A-Za-z0-9_./+=~-]*?(?:{_BEGIN}|{_TOKEN}))[A-Za-z0-9_./+=~-]{{8,}}"
 #: The patterns of the query.
-FOUND = tuple((name, PRIVATE_KEY if name == "private_key" else pattern) for name, pattern in KINDS)
+FOUND = tuple((name, {"private_key": PRIVATE_KEY, "assignment": _ASSIGNMENT}.get(name, pattern)) for name, pattern in KINDS)
 FOUND_ANY = "|".join(f"(?:{p})" for _, p in FOUND)
 NAMES = [name for name, _ in FOUND]
-#: Patterns that a value shows by itself.
-TOKENS = tuple((name, pattern) for name, pattern in FOUND if name not in ("private_key", "assignment"))
-TOKEN = "^(?:" + "|".join(f"(?:{p})" for _, p in TOKENS) + ")"
-#: What precedes the value in a match.
-LEAD = f"^(?:{_ASSIGN}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----\\s+)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|redacted|123456789|abcdefgh)"
 #: Four equal letters occur by chance in a body of thousands.
 KEY_PLACEHOLDER = PLACEHOLDER.replace("xxxx", "x{8}")
@@ -82,8 +90,7 @@ KEY_PLACEHOLDER = PLACEHOLDER.replace("xxxx", "x{8}")
 
 def _value(match: Column) -> Column:
     key = F.regexp_replace(match, PRIVATE_KEY_REST, "")
-    bare = F.regexp_replace(match, LEAD, "")
-    return F.when(match.rlike(f"^{_BEGIN}"), key).when(bare.rlike(TOKEN), F.regexp_extract(bare, TOKEN, 0)).otherwise(bare)
+    return F.when(match.rlike(f"^{_BEGIN}"), key).otherwise(F.regexp_replace(match, f"^{_GIVEN}", ""))
 
 
 def _rank(match: Column, value: Column) -> Column:
