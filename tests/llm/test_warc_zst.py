@@ -72,3 +72,9 @@ def test_long_pages_few_records_and_empty_table(spark):
     content = W.read_record(path(folder, out[0]["file"]), out[0]["offset"], out[0]["length"])
     assert long.encode() in content and b"u%0D%0AX: y" in content
     assert rows(W.write(pages(spark, []), new_path(spark, "test-void"))) == []
+
+
+def test_training_reads_all_positions_of_all_samples():
+    samples = [html(i).encode() + hashlib.sha512(str(i).encode()).hexdigest().encode() * 3 for i in range(200)]
+    made = lambda accel: zstandard.train_dictionary(8192, samples, k=200, d=8, f=18, accel=accel, steps=1, split_point=1.0).as_bytes()
+    assert W.train(samples, 8192).as_bytes() == made(1) != made(4)

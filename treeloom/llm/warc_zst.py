@@ -59,8 +59,8 @@ def train(samples: list[bytes], size: int):
     if len(samples) < 8:
         return None
     try:
-        # fixed parameters of the fast cover trainer, so that its result is reproducible
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 16)), samples, k=200, d=8, f=18, accel=4, steps=1, split_point=1.0)
+        # fixed parameters of the fast cover trainer, so that its result is reproducible; accel=1 reads all positions of all samples
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 16)), samples, k=200, d=8, f=18, accel=1, steps=1, split_point=1.0)
     except zstandard.ZstdError:
         return None
 
