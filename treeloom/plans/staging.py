@@ -12,12 +12,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
+_WATCHED: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,19 +55,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     The result has no lineage before the written files, so losing an executor
-    costs nothing that came earlier.
+    costs nothing that came earlier.  The files go with the driver's JVM, unless
+    :func:`release` deletes them before.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._staged_in = path
+    for tables in _WATCHED:
+        tables.append(stored)
+    return stored
+
+
+@contextmanager
+def staged() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`materialize` writes inside the block."""
+    tables: list[DataFrame] = []
+    _WATCHED.append(tables)
+    try:
+        yield tables
+    finally:
+        _WATCHED.pop()
 
 
 def _folders(df: DataFrame) -> list:
     """The staged folders that a table reads, as pairs of file system and path."""
     context = df.sparkSession.sparkContext
     conf = context._jsc.hadoopConfiguration()
-    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if "/treeloom-" in f]
+    own = vars(df).get("_staged_in")
+    names = {own} if own else {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in names if "/treeloom-" in f]
     return [(p.getFileSystem(conf), p) for p in paths]
 
 
@@ -74,7 +98,7 @@ def exists(df: DataFrame) -> bool:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote."""
+    """Delete the files of a table that :func:`materialize` wrote, when its last reader is done."""
     for fs, path in _folders(df):
         fs.delete(path, True)
 
