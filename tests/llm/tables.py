@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("id", "key", "host", "keep", "copies", "bucket", "first", "hi", "tokens", "part", "digest", "rate", "slot", "value", "match", "a", "u", "v")
+CLASH += ("__words", "__keep", "__id", "__again", "__digest", "__same", "__source", "__copies", "__verdict", "__f_empty", "__flags", "__host", "__n", "a.b", "x`y")
 
 
 def documents(spark, rows, clash=False):
