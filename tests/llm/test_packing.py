@@ -1,6 +1,11 @@
+import base64
+
 import numpy as np
 import pytest
+import sentencepiece
+import tiktoken
 from llm.tables import documents, prose, rows
+from tokenizers import Tokenizer
 
 from treeloom.llm import packing as P
 from treeloom.llm import tokenizing
@@ -120,7 +125,44 @@ def test_other_tokenizers(file):
     assert ids and max(ids) < size - 1
 
 
-def test_texts_beyond_a_part_are_encoded_whole():
-    text = "word " * (tokenizing.PART // 2)
-    assert "".join(tokenizing.parts(text)) == text and all(len(p) <= tokenizing.PART for p in tokenizing.parts(text))
-    assert "".join(tokenizing.parts("x" * (2 * tokenizing.PART + 3))) == "x" * (2 * tokenizing.PART + 3)
+@pytest.mark.parametrize("file", ["byte_bpe_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_long_texts_have_the_ids_of_the_library(file):
+    path = f"/opt/tokenizers/{file}"
+    if file.endswith("tiktoken"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        whole = tiktoken.Encoding("own", pat_str=tokenizing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    elif file.endswith("json"):
+        model = Tokenizer.from_file(path)
+        whole = lambda t: model.encode(t, add_special_tokens=False).ids
+    else:
+        whole = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    rng = np.random.RandomState(1)
+    letters = np.array(list("abcdefghij"))
+    texts = [prose(110_000), "".join(letters[rng.randint(0, 10, 600_000)]), "one" + " " * 300_000 + "two " * 100_000 + "\n" * 200_000]
+    assert all(len(t) > 500_000 for t in texts)
+    for text in texts:
+        assert tokenizing.load(path)[0](text) == whole(text)
+
+
+def test_long_white_space_is_encoded_as_the_pattern_does():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizing.DEFAULT_FILE, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=tokenizing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.RandomState(2)
+    pieces = ["a", "é", "1", "!", " ", "  ", "\n", "\t", "\u3000", "\x1c", "\xa0", "'s", "   "]
+    for _ in range(3000):
+        text = "".join(pieces[k] for k in rng.randint(0, len(pieces), rng.randint(1, 40)))
+        assert tokenizing._around_spaces(text, own.encode_ordinary, own._encode_single_piece, 2) == own.encode_ordinary(text)
+    assert len(tokenizing.load(tokenizing.DEFAULT_FILE)[0]("\n" * 3_000_000)) == 1_500_000
+
+
+def test_a_very_long_conversation_has_a_bin_of_its_own(spark):
+    data = [(1, 0, "user", "hello", 9, "x"), (2, 0, "assistant", "word " * 400_000, 9, "x"), (3, 0, "user", "hi", 9, "x")]
+    got = {r["id"]: r for r in placed(P.pack(P.conversation_examples(spark.createDataFrame(data, TURNS))))}
+    assert got[2]["over"] and got[2]["tokens"] == 400_002 and got[1]["bin"] == got[3]["bin"] != got[2]["bin"]
+
+
+def test_bins_of_documents_are_full(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = placed(P.pack(P.document_examples(docs), P.DOCUMENT_LIMITS))
+    bins = check(out, P.DOCUMENT_LIMITS)
+    assert sum(r["tokens"] for r in out) / len(bins) > 0.95 * P.DOCUMENT_LIMITS[0]

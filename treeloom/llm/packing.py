@@ -15,8 +15,12 @@ by size and id, so the result does not depend on partitioning.
 Defined results: an example above a limit has a bin of its own, marked ``over``;
 a null text has no tokens; turns with a null conversation id form one example
 with a null id; roles other than ``assistant`` (null too) bear no loss; repeated
-rows are turns (or documents) of their own; ties go to the smaller id; an empty
-table gives an empty table; other columns are not looked at.
+rows are turns (or documents) of their own; ties go to the smaller id; texts are
+tokenized whole, and a conversation too long for a bin is an example above a limit;
+an empty table gives an empty table; other columns are not looked at.
+
+A group is one task's work, or one after another of a task's where there are more
+than ``TASKS`` of them.
 """
 
 from __future__ import annotations
@@ -32,7 +36,12 @@ from pyspark.sql import functions as F
 from treeloom.llm import tokenizing
 from treeloom.plans.staging import materialize, ship
 
+#: Tokens, segments and loss-bearing tokens of a sequence of instruction data.
 LIMITS = (8192, 32, 4096)
+#: The same for documents, all of whose tokens bear loss.
+DOCUMENT_LIMITS = (8192, 32, 8192)
+#: Partitions of the shuffle that deals examples to groups.
+TASKS = 16_384
 
 
 def fill(sizes: np.ndarray, limits: tuple[int, int, int]) -> list[list[int]]:
@@ -131,7 +140,10 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, group_size:
         if rows:
             yield solve(pa.Table.from_batches(held))
 
-    return dealt.select(*columns).repartition(F.col("grp")).sortWithinPartitions("grp", *order).mapInArrow(run, _OUT)
+    # by number, since adaptive execution would merge these by their few bytes, though they are much work
+    tasks = min(groups, TASKS)
+    placed = dealt.select(*columns).repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int"))
+    return placed.sortWithinPartitions("grp", *order).mapInArrow(run, _OUT)
 
 
 def count_tokens(rows: DataFrame, text: str, tokenizer: str) -> DataFrame:
@@ -160,7 +172,7 @@ def conversation_examples(turns: DataFrame, tokenizer: str = tokenizing.DEFAULT_
     return whole.select("id", F.lit(0).alias("part"), F.xxhash64("id").alias("deal"), "tokens", "segments", "loss_tokens")
 
 
-def document_examples(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, tokenizer: str = tokenizing.DEFAULT_FILE) -> DataFrame:
+def document_examples(docs: DataFrame, limits: tuple[int, int, int] = DOCUMENT_LIMITS, tokenizer: str = tokenizing.DEFAULT_FILE) -> DataFrame:
     """Examples of whole documents; longer ones are cut into parts that fit a bin.
 
     All tokens of a document bear loss, so a part has at most the smaller of the

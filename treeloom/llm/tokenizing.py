@@ -1,9 +1,13 @@
-"""Loading of public tokenizer files by path; nothing is trained or copied."""
+"""Loading of public tokenizer files by path; nothing is trained or copied.
+
+Every text is encoded whole, whatever its length.
+"""
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,23 +16,25 @@ import numpy as np
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts are handed over in parts that end before white space.
-PART = 500_000
-
-
-def parts(text: str) -> list[str]:
-    """``text`` in order, cut before a space or newline; mostly one part."""
-    if len(text) <= PART:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + PART)
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = cut if cut > at else end
-        out.append(text[at:end])
+#: Runs of white space of that length are cut out by :func:`_around_spaces`, as the splitting pattern needs stack for each of their characters.
+SPACES = 100_000
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
+def _around_spaces(text: str, whole: Callable[[str], list[int]], piece: Callable[[bytes], list[int]], longest: int = SPACES) -> list[int]:
+    """The ids of the whole text, with long runs of white space encoded as what the pattern makes of them.
+
+    A run is one piece but for its last character, which goes with the word after
+    it; nothing before a run depends on what follows.
+    """
+    out: list[int] = []
+    at = 0
+    for run in re.finditer(f"{_SPACE}{{{longest},}}", text):
+        end = run.end() - (run.end() < len(text))
+        out += whole(text[at : run.start()])
+        out += piece(text[run.start() : end].encode())
         at = end
-    return out
+    return out + whole(text[at:])
 
 
 @lru_cache(maxsize=4)
@@ -39,7 +45,8 @@ def load(path: str) -> tuple[Callable[[str], list[int]], int]:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        whole = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        whole = lambda t: own.encode_ordinary(t) if len(t) < SPACES else _around_spaces(t, own.encode_ordinary, own._encode_single_piece)
         size = max(ranks.values()) + 2
     elif path.endswith(".json"):
         from tokenizers import Tokenizer
@@ -57,10 +64,7 @@ def load(path: str) -> tuple[Callable[[str], list[int]], int]:
 
     def encode(text: str) -> list[int]:
         # lone surrogates can't be encoded as UTF-8
-        clean = text.encode("utf-8", "replace").decode("utf-8")
-        if len(clean) <= PART:
-            return whole(clean)
-        return [i for part in parts(clean) for i in whole(part)]
+        return whole(text.encode("utf-8", "replace").decode("utf-8"))
 
     return encode, size
 
