@@ -11,16 +11,18 @@ different characters), ``widely_copied`` (``copied_owners`` owners or more),
 ``min_entropy`` bits a character), ``shared`` (more owners, fewer than
 ``copied_owners``) and ``weak`` (the rest).
 
-Only candidates are stored and shuffled, about as many rows as there are
-secrets; the text is read once.  A value copied into a million documents is one
+A value is hashed and measured where it is found; hashes, lengths and entropies
+are what is shuffled and stored, never the value.  Only candidates go on, about
+as many rows as there are secrets; the text is read once.  A value copied into a million documents is one
 key: counting combines on the map side, and the join back is split by adaptive
 execution when it is skewed.
 
 Defined results: null and empty texts have no candidates; a null owner counts as
 the owner ``''`` and a null language as ``''``; a value that occurs several times
 in a document is one row with its number of occurrences; rows that repeat an id
-add up; an empty table gives an empty table; other columns are not looked at.
-Values are reported as SHA-256 only.
+add up; ties of the kind go to the first in precedence; a text is scanned whole,
+whatever its length; an empty table gives an empty table; other columns are not
+looked at.  Values are reported as SHA-256 only.
 
 The value of a private key is the whole of its body, from the BEGIN to the END
 line, without headers, white space and escaped line ends, so a key has one hash
@@ -34,8 +36,8 @@ kind is the first in precedence that any of its occurrences has.
 A name is that of a secret if it has one of the key words in any place
 (``aws_secret_access_key``, ``DB_PASSWORD``, ``clientSecret``).
 
-``scan_sql`` is a narrower statement of the same: it takes the first line of a
-key, counts by kind and value, and knows the bare key words only.
+``scan_sql`` says the same in DuckDB, whose patterns have no look-around: it takes
+the first line of a key and knows the bare key words only.
 """
 
 from __future__ import annotations
@@ -110,7 +112,13 @@ def _entropy(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, owner, repository, value, rank, occurrences)``; ``rank`` is the place of the kind in ``NAMES``."""
+    """``(doc_id, owner, repository, secret_hash, length, entropy, example, rank, occurrences)``.
+
+    The value itself goes no further than this: it is hashed and measured where it
+    is found, before anything is shuffled or stored.  ``rank`` is the place of the
+    kind in ``NAMES``; ``example`` has bit 1 for what looks like a placeholder as a
+    token and bit 2 as a private key.
+    """
     found = docs.select(
         "doc_id",
         F.coalesce(F.col("source"), F.lit("")).alias("owner"),
@@ -120,48 +128,48 @@ def candidates(docs: DataFrame) -> DataFrame:
     valued = found.select("doc_id", "owner", F.concat("owner", F.lit("/"), "lang").alias("repository"), "match", _value(F.col("match")).alias("value"))
     ranked = valued.select("doc_id", "owner", "repository", "value", _rank(F.col("match"), F.col("value")).alias("rank"))
     kept = ranked.filter((F.col("rank") != NAMES.index("private_key")) | (F.length("value") >= KEY_LENGTH))
-    return kept.groupBy("doc_id", "owner", "repository", "value").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("occurrences"))
+    value = F.col("value")
+    few = F.size(F.array_distinct(F.split(value, ""))) < 6
+    flag = lambda pattern, bit: F.when(few | value.rlike(pattern), bit).otherwise(0)
+    measured = kept.select(
+        "doc_id", "owner", "repository", "rank",
+        F.sha2("value", 256).alias("secret_hash"),
+        F.length(value).alias("length"),
+        _entropy(value).alias("entropy"),
+        (flag(PLACEHOLDER, 1) + flag(KEY_PLACEHOLDER, 2)).alias("example"),
+    )
+    same = ["length", "entropy", "example"]
+    return measured.groupBy("doc_id", "owner", "repository", "secret_hash").agg(
+        *[F.min(c).alias(c) for c in same], F.min("rank").alias("rank"), F.count(F.lit(1)).alias("occurrences")
+    )
 
 
 def ownership(stored: DataFrame, copied_owners: int, min_length: int, min_entropy: float) -> DataFrame:
-    """One row for each secret: its kind, its spread over documents, repositories and owners, and the verdict."""
-    value = F.col("value")
-    by_value = stored.groupBy("value").agg(
-        F.min("rank").alias("rank"),
+    """One row for each hash: its kind, its spread over documents, repositories and owners, and the verdict."""
+    by_hash = stored.groupBy("secret_hash").agg(
+        *[F.min(c).alias(c) for c in ("rank", "length", "entropy", "example")],
         F.countDistinct("doc_id").alias("n_docs"),
         F.countDistinct("repository").alias("n_repositories"),
         F.countDistinct("owner").alias("n_owners"),
     )
     kind = F.element_at(F.array(*map(F.lit, NAMES)), F.col("rank") + 1)
-    measured = by_value.select("*", kind.alias("kind"), _entropy(value).alias("entropy")).drop("rank")
-    few = F.size(F.array_distinct(F.split(value, ""))) < 6
-    example = F.when(F.col("kind") == "private_key", value.rlike(KEY_PLACEHOLDER)).otherwise(value.rlike(PLACEHOLDER))
+    bit = F.when(F.col("rank") == NAMES.index("private_key"), 2).otherwise(1)
     verdict = (
-        F.when(example | few, "placeholder")
+        F.when(F.col("example").bitwiseAND(bit) > 0, "placeholder")
         .when(F.col("n_owners") >= copied_owners, "widely_copied")
         .when(F.col("n_owners") > 1, "shared")
-        .when((F.length(value) >= min_length) & (F.col("entropy") >= min_entropy), "live_looking")
+        .when((F.col("length") >= min_length) & (F.col("entropy") >= min_entropy), "live_looking")
         .otherwise("weak")
     )
-    return measured.withColumn("verdict", verdict)
+    return by_hash.select("secret_hash", kind.alias("kind"), "n_docs", "n_repositories", "n_owners", "entropy", verdict.alias("verdict"))
 
 
 def scan(docs: DataFrame, copied_owners: int = 3, min_length: int = 16, min_entropy: float = 3.0) -> DataFrame:
     """One row for each document and secret in it, with the secret's standing in the corpus."""
     stored = materialize(candidates(docs), "candidates")
     standing = ownership(stored, copied_owners, min_length, min_entropy)
-    return stored.drop("rank").join(standing, "value").select(
-        "doc_id",
-        "owner",
-        "repository",
-        "kind",
-        F.sha2("value", 256).alias("secret_hash"),
-        "occurrences",
-        "n_docs",
-        "n_repositories",
-        "n_owners",
-        "entropy",
-        "verdict",
+    return stored.select("doc_id", "owner", "repository", "secret_hash", "occurrences").join(standing, "secret_hash").select(
+        "doc_id", "owner", "repository", "kind", "secret_hash", "occurrences", "n_docs", "n_repositories", "n_owners", "entropy", "verdict"
     )
 
 
@@ -174,21 +182,24 @@ def _quoted(pattern: str) -> str:
 
 
 def scan_sql(table: str = "documents", copied_owners: int = 3, min_length: int = 16, min_entropy: float = 3.0) -> str:
-    kind = " ".join(f"when regexp_matches(m, {_quoted(f'^(?:{p})')}) then '{n}'" for n, p in KINDS[:-1])
+    kind = " ".join(f"when regexp_matches(value, {_quoted(f'^(?:{p})')}) then {NAMES.index(n)}" for n, p in TOKENS)
     share = "((length(value) - length(replace(value, c, ''))) / length(value))"
     return f"""
 with found as (
   select doc_id, coalesce(source, '') as owner, coalesce(source, '') || '/' || coalesce(lang, '') as repository,
          unnest(regexp_extract_all(text, {_quoted(ANY)}, 0)) as m
   from {table}),
+valued as (
+  select *, regexp_replace(m, {_quoted(LEAD)}, '') as value from found),
 stored as (
-  select doc_id, owner, repository, case {kind} else '{KINDS[-1][0]}' end as kind,
-         regexp_replace(m, {_quoted(LEAD)}, '') as value, count(*) as occurrences
-  from found group by all),
+  select doc_id, owner, repository, value, count(*) as occurrences,
+         min(case {kind} when starts_with(m, '-----BEGIN') then {NAMES.index("private_key")} else {NAMES.index("assignment")} end) as rank
+  from valued group by all),
 by_value as (
-  select kind, value, count(distinct doc_id) as n_docs, count(distinct repository) as n_repositories, count(distinct owner) as n_owners,
+  select value, [{", ".join(f"'{n}'" for n in NAMES)}][min(rank) + 1] as kind,
+         count(distinct doc_id) as n_docs, count(distinct repository) as n_repositories, count(distinct owner) as n_owners,
          round(list_sum(list_transform(list_sort(list_distinct(string_split(value, ''))), lambda c: -{share} * log2({share}))), 3) as entropy
-  from stored group by kind, value),
+  from stored group by value),
 standing as (
   select *, case
     when regexp_matches(value, {_quoted(PLACEHOLDER)}) or len(list_distinct(string_split(value, ''))) < 6 then 'placeholder'
@@ -198,4 +209,4 @@ standing as (
     else 'weak' end as verdict
   from by_value)
 select doc_id, owner, repository, kind, sha256(value) as secret_hash, occurrences, n_docs, n_repositories, n_owners, entropy, verdict
-from stored join standing using (kind, value)"""
+from stored join standing using (value)"""
