@@ -1,6 +1,5 @@
 import random
 import re
-import statistics
 from collections import Counter, defaultdict
 
 import corpus_pipeline as C
@@ -8,12 +7,17 @@ import pytest
 from llm.tables import CLASH, documents
 from llm.test_mixing import brute as brute_mix
 from llm.test_packing import check
+from llm.test_quality_rules import expected as expected_rates
 from llm.test_simhash import brute as brute_near
 
 from treeloom.llm import packing, tokenizing
 from treeloom.llm import quality_rules as Q
 
 
+def above(count, n, limit, variance):
+    return count > n * limit and (count - n * limit) ** 2 > Q.Z2 * n * variance
+
+
 def brute_rules(text):
     words = [w for w in re.split("[ \n\t\r\f]+", text or "") if w]
     text = text or ""
@@ -21,10 +25,10 @@ def brute_rules(text):
     letters = sum(c.isalpha() for c in text)
     return {
         "empty": n == 0,
-        "symbols": (symbols := sum(c in Q.SYMBOLS for c in text)) >= 3 and symbols * 5 > n,
-        "exclaim": text.count("!") >= 2 and text.count("!") * 4 > n,
-        "shout": n >= 3 and sum(c.isupper() for c in text) * 2 > letters,
-        "stutter": (again := sum(a == b for a, b in zip(words, words[1:]))) >= 3 and again * 5 > n,
+        "symbols": above(sum(c in Q.SYMBOLS for c in text), n, 1 / 5, 1 / 5),
+        "exclaim": above(text.count("!"), n, 1 / 4, 1 / 4),
+        "shout": above(sum(c.isupper() for c in text), letters, 1 / 2, 1 / 4),
+        "stutter": above(sum(a == b for a, b in zip(words, words[1:])), n, 1 / 5, 4 / 25),
         "lines": len(lines) >= 5 and len(set(lines)) * 10 < len(lines) * 7,
         "short": 0 < n < 3,
         "long_words": n >= 20 and len(text) > n * 16,
@@ -35,15 +39,11 @@ def brute_rules(text):
 def brute_quality(rows):
     """Kept (doc_id, text, source) by a plain reading of the rules."""
     broken = [brute_rules(t) for _, t, _ in rows]
-    docs, bad = Counter(), Counter()
+    hosts = {}
     for (_, _, s), b in zip(rows, broken):
-        docs[s or ""] += 1
-        bad[s or ""] += any(b.values())
-    rates = [bad[h] / docs[h] for h in docs]
-    mean = statistics.mean(rates)
-    var = statistics.variance(rates) if len(rates) > 1 else 0
-    strength = max(0.0, mean * (1 - mean) / var - 1) if var > 1e-12 else Q.ALWAYS
-    rate = {h: round((bad[h] + mean * strength) / (docs[h] + strength), 6) for h in docs}
+        failed, docs = hosts.get(s or "", (0, 0))
+        hosts[s or ""] = (failed + any(b.values()), docs + 1)
+    rate = {h: round(r, 6) for h, r in expected_rates(hosts).items()}
     kept = []
     for row, b in zip(rows, broken):
         allowed = 0 if rate[row[2] or ""] >= 0.4 else 1 if rate[row[2] or ""] >= 0.25 else 2
@@ -111,7 +111,7 @@ def test_stages_equal_a_brute_force_version(spark, folder):
     assert got["mixing"] == sorted(rows, key=repr)
 
     packed = [r.asDict() for r in outputs["packing"].collect()]
-    check(packed, packing.LIMITS)
+    check(packed, packing.DOCUMENT_LIMITS)
     encode, want, tokens = tokenizing.load(tokenizing.DEFAULT_FILE)[0], Counter(), defaultdict(int)
     for i, t, _ in rows:
         want[i] += len(encode(t)) + 1

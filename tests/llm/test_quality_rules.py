@@ -45,22 +45,57 @@ def test_clean_documents_survive_a_bad_host_and_soft_failures_do_not(spark):
     assert got[300, "good1"]["host_verdict"] == "good" and got[300, "good1"]["keep"]
 
 
+def rates(spark, data):
+    flags = Q.flagged(documents(spark, data)).select(Q.domain(Q.named("source")).alias("host"), "flags")
+    return {r["host"]: r for r in Q.host_rates(flags).collect()}
+
+
+def expected(hosts):
+    """Shrunk rates of ``{host: (failed, documents)}``, by the moments of the beta-binomial."""
+    n, k = sum(d for _, d in hosts.values()), len(hosts)
+    m = sum(f for f, _ in hosts.values()) / n
+    spread = sum(d * (f / d - m) ** 2 for f, d in hosts.values()) / (m * (1 - m))
+    room = n - sum(d * d for _, d in hosts.values()) / n - (k - 1)
+    correlation = (spread - (k - 1)) / room if room > 1e-9 else 0
+    strength = Q.ALWAYS if correlation <= 1 / Q.ALWAYS else 0 if correlation >= 1 else 1 / correlation - 1
+    return {h: (f + m * strength) / (d + strength) for h, (f, d) in hosts.items()}
+
+
 def test_rates_shrink_by_the_fitted_prior(spark):
-    data = [(1, "x!! y!!", "tiny")]
-    data += [(10 + i, CLEAN if i % 5 else "x!! y!!", "a") for i in range(100)]
-    data += [(200 + i, CLEAN if i % 4 else "x!! y!!", "b") for i in range(100)]
-    rates = {r["host"]: r for r in Q.host_rates(Q.flagged(documents(spark, data))).collect()}
-    p = [1.0, 0.2, 0.25]  # their spread leaves room for a prior
-    mean = sum(p) / 3
-    var = sum((x - mean) ** 2 for x in p) / 2
-    strength = max(0.0, mean * (1 - mean) / var - 1)
-    want = (1 + mean * strength) / (1 + strength)
-    assert abs(rates["tiny"]["rate_any"] - want) < 1e-6 and rates["tiny"]["rate_any"] < 1
+    hosts = {"tiny": (1, 1), "a": (20, 100), "b": (30, 100), "c": (5, 50), "d": (0, 40)}
+    data, i = [], 0
+    for host, (failed, docs) in hosts.items():
+        for k in range(docs):
+            data.append((i := i + 1, "x!! y!!" if k < failed else CLEAN, host))
+    got = rates(spark, data)
+    want = expected(hosts)
+    assert all(abs(got[h]["rate_any"] - want[h]) < 1e-6 for h in hosts)
+    assert 0.2 < got["tiny"]["rate_any"] < 0.5 and 0 < got["d"]["rate_any"] < 0.1
+
+
+def test_a_tail_of_one_document_hosts_shrinks_to_the_common_rate(spark):
+    data = [(i, "x!! y!!" if i % 10 == 0 else CLEAN, f"h{i}") for i in range(1000)]
+    got = rates(spark, data)
+    assert len(got) == 1000 and all(abs(r["rate_any"] - 0.1) < 1e-3 and r["host_verdict"] == "good" for r in got.values())
+    data += [(2000 + i, "x!! y!!" if i % 10 == 0 else CLEAN, f"big{i // 100}") for i in range(400)]
+    assert all(abs(r["rate_any"] - 0.1) < 0.02 for r in rates(spark, data).values())
+
+
+def test_hosts_of_addresses_are_domains(spark):
+    data = [(1, CLEAN, "http://WWW.A.example/x"), (2, CLEAN, "https://me@a.example:80/y?z"), (3, "x!! y!!", "a.example"), (4, CLEAN, "src1"), (5, CLEAN, None)]
+    assert {h: r["docs"] for h, r in rates(spark, data).items()} == {"a.example": 3, "src1": 1, "": 1}
 
 
 def test_one_host_shrinks_fully(spark):
-    got = Q.host_rates(Q.flagged(documents(spark, [(1, CLEAN), (2, "x!! y!!")]))).collect()
-    assert len(got) == 1 and got[0]["rate_any"] == 0.5
+    got = rates(spark, [(1, CLEAN), (2, "x!! y!!")])
+    assert len(got) == 1 and got["s0"]["rate_any"] == 0.5
+
+
+def test_rates_on_few_words_need_proof_and_on_many_none(spark):
+    data = [(1, "a_b c"), (2, "snake_case names"), (3, " ".join(["plain"] * 0 + [f"w{i}" + ("_" if i % 4 == 0 else "") for i in range(4000)]))]
+    data += [(4, " ".join(f"w{i}" + ("_" if i % 6 == 0 else "") for i in range(4000)))]
+    got = {i: r["failed"] for (i, _), r in verdict(spark, data).items()}
+    assert "symbols" not in got[1] + got[2] + got[4] and "symbols" in got[3]
 
 
 def test_filter_keeps_columns_and_repeats_and_reads_whole_texts(spark):
