@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from llm.tables import documents, ids, prose, rows
 
 from treeloom.llm import simhash as S
@@ -110,8 +111,40 @@ def test_nulls_empties_repeats_and_long_texts(spark):
 
 
 def test_keys_grow_with_the_corpus():
-    assert S.sizing(0) == S.sizing(1 << 24) == (14, 24) and S.sizing(1 << 36) == (64, 36)
-    assert [S.sizing(1 << n)[1] for n in (25, 30)] == [25, 30]
+    assert S.sizing(0) == S.sizing(1 << 28) == (14, 24) and S.sizing(1 << 36) == (55, 32)
+    assert [S.sizing(1 << n)[1] for n in (29, 34)] == [25, 30]
+    for n in range(28, 40):  # a pair at the radius meets in as many tables at every size
+        tables, bits = S.sizing(1 << n)
+        assert tables * (1 - 20 / S.BITS) ** (bits - 24) >= 14
+
+
+def test_large_buckets_are_cut_into_blocks_and_lose_nothing(spark):
+    rng = np.random.RandomState(4)
+    n, block = 3000, 128
+    bits = rng.randint(0, 2, (n, S.BITS))
+    for k in range(400):  # chains of near members, spread over all blocks
+        a, b = rng.choice(n, 2, replace=False)
+        bits[b] = bits[a]
+        bits[b, rng.choice(S.BITS, rng.randint(0, 19), replace=False)] ^= 1
+    packed = S.pack(bits)
+    bucket = np.where(np.arange(n) < 2700, 5, rng.randint(6, 60, n))
+    frame = pd.DataFrame({"bucket": bucket, "doc_id": np.arange(n), "hi": packed[:, 0], "lo": packed[:, 1]})
+    far = bits.astype(np.float32)
+    far = far @ (1 - far.T) + (1 - far) @ far.T
+    pairs = [(a, b) for a, b in zip(*np.where(np.triu(far <= 20, 1))) if bucket[a] == bucket[b]]
+    entries = spark.createDataFrame(frame).repartition(5)
+    for chunk in (300, 100_000):
+        got = S.near_links(entries, 20, chunk, block)
+        assert got.rdd.getNumPartitions() > 1
+        assert groups([tuple(r) for r in got.collect()], range(n)) == groups(pairs, range(n))
+
+
+def test_hot_fingerprints_and_hubs_are_combined_before_the_shuffle(spark):
+    data = [(i, "same words in every one of them") for i in range(300)] + [(1000 + i, prose(60, i)) for i in range(20)]
+    found = dict(map(tuple, S.near_duplicates(documents(spark, data)).collect()))
+    assert {i: k for i, k in found.items() if i < 1000} == {i: 0 for i in range(1, 300)}
+    star = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(i, i - 1) for i in range(4000, 4010)], "a long, b long")
+    assert rows(S.components(star)) == sorted([(i, 0) for i in range(1, 3000)] + [(i, 3999) for i in range(4000, 4010)], key=repr)
 
 
 def test_empty_table(spark):

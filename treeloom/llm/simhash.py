@@ -18,20 +18,30 @@ the connected components of that relation.
    reference fingerprints (the rows of a Hadamard matrix and their shifts by a
    seeded mask) are precomputed.  By the triangle inequality a pair whose
    coordinates differ by more than ``radius`` anywhere is too far apart and is
-   discarded.
+   discarded.  A task computes the row of a fingerprint once for all buckets it
+   has in hand; to carry the 256 bytes of a row with each key would multiply the
+   shuffle by nine, and a row is one matrix product of 33,000 operations.
 4. *Verification.* The survivors' Hamming distance is computed exactly.
 5. Links become one star a task, and stars are joined to components by
    alternating large-star and small-star rounds (Kiveris et al., 2014), each
-   written to the shared folder.
+   written to the shared folder.  Minima are combined before the shuffle, so a hub
+   is no task's burden.
 
-In buckets of more than ``SMALL`` members a breadth-first sweep over the pivot
-table finds the same components without listing all pairs.  No bucket is capped.
+No bucket is capped.  In one of more than ``SMALL`` members a breadth-first sweep
+over the pivot table finds the same components without listing all pairs.  One of
+more than ``BLOCK`` is passed on as it streams by, cut into blocks, and each two
+blocks are swept against each other in a task of their own.
+
+*Size.* ``sizing`` takes the bits of a key from the number of documents, so that a
+bucket has ``CROWD`` chance members at most, and adds tables for each bit more than
+24, so that a pair at the radius meets in as many tables as with 24 bits, and a
+nearer one in more: recall does not fall with the size of the corpus.
 
 Defined results: a document without a word (null, empty or only punctuation) has
 no fingerprint and is nobody's duplicate; a null id is not compared and its row
 is kept; rows that repeat an id are one document, compared by its smallest fingerprint,
-and stay or go together; an
-empty table gives an empty table; ties go to the smallest id; other columns pass
+and stay or go together; texts are read whole; an empty table gives an empty
+table; ties go to the smallest id; other columns, whatever their names, pass
 through :func:`keep_one` untouched.
 """
 
@@ -43,13 +53,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.columns import unused
 from treeloom.plans.staging import materialize, release, ship
 
 BITS = 128
+#: Buckets up to so many members are compared pair by pair.
 SMALL = 32
+#: Members of a bucket that one task sweeps; larger buckets are cut into blocks of so many.
+BLOCK = 4096
+#: Members that a bucket has by chance, at most, on average.
+CROWD = 16
 WORD = re.compile(r"\w+")
 
 
@@ -207,9 +223,49 @@ def hamming(hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 
 
 def _apart(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    """True where some coordinate of the pair differs by more than ``radius``."""
-    a, b = table[i], table[j]
-    return (np.maximum(a, b) - np.minimum(a, b)).max(axis=1) > radius
+    """True where some coordinate of the pair differs by more than ``radius``.
+
+    Coordinates are at most 128, so a difference within the radius, and no other,
+    comes to ``2 * radius`` at most when it is raised by the radius modulo 256.
+    """
+    return (table[i] - table[j] + np.uint8(radius)).max(axis=1) > 2 * radius
+
+
+def sweep(hi: np.ndarray, lo: np.ndarray, table: np.ndarray, sides: list[np.ndarray], radius: int, stats: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs that connect what is near, among the rows of one side or across two.
+
+    Breadth first: what is near to a row leaves the rest and is compared itself, so
+    every row is compared once with what is left then.  ``table`` has the pivot rows.
+    """
+    one, two = [], []
+    rest = [np.asarray(s) for s in sides]
+    other = len(sides) - 1
+    pivots = [np.ascontiguousarray(table[r].T) for r in rest]  # a row each pivot
+    spare = np.empty(max(p.size for p in pivots), np.uint8)
+    while len(rest[0]):
+        front, rest[0], pivots[0] = [(int(rest[0][0]), 0)], rest[0][1:], pivots[0][:, 1:]
+        while front:
+            at, side = front.pop()
+            across = other - side
+            if not len(rest[across]):
+                continue
+            stats["pairs"] += len(rest[across])
+            raised = spare[: pivots[across].size].reshape(pivots[across].shape)
+            np.subtract(pivots[across], (table[at] - np.uint8(radius))[:, None], out=raised)
+            found = np.flatnonzero(np.maximum.reduce(raised, axis=0) <= 2 * radius)
+            stats["survivors"] += len(found)
+            near = found[hamming(hi, lo, np.full(len(found), at), rest[across][found]) <= radius]
+            if len(near):
+                rows = rest[across][near]
+                one.append(np.full(len(rows), at))
+                two.append(rows)
+                front.extend((int(r), across) for r in rows)
+                left = np.ones(len(rest[across]), bool)
+                left[near] = False
+                rest[across], pivots[across] = rest[across][left], pivots[across][:, left]
+    if not one:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(one), np.concatenate(two)
 
 
 def links(bucket: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
@@ -250,20 +306,9 @@ def links(bucket: np.ndarray, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray, r
             a = a[hamming(hi, lo, a, a + step) <= radius]
             keep(a, a + step)
     for start, length in zip(edge[size > SMALL], size[size > SMALL]):
-        rest = np.arange(start, start + length)
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                at = front.pop()
-                one = np.full(len(rest), at)
-                stats["pairs"] += len(rest)
-                close = ~_apart(table, row[one], row[rest], radius)
-                stats["survivors"] += int(close.sum())
-                close[close] = hamming(hi, lo, one[close], rest[close]) <= radius
-                near = rest[close]
-                keep(np.full(len(near), at), near)
-                front.extend(near)
-                rest = rest[~close]
+        at = slice(start, start + length)
+        a, b = sweep(hi[at], lo[at], table[row[at]], [np.arange(length)], radius, stats)
+        keep(a + start, b + start)
     a, b = np.concatenate(found[0]), np.concatenate(found[1])
     stats["near"] = len(a)
     return a, b, stats
@@ -288,53 +333,125 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def near_links(entries: DataFrame, radius: int, chunk: int = 200_000) -> DataFrame:
+_FOUND = "a long, b long, bucket long, hi long, lo long, block int"
+
+
+def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], ["a", "b", "bucket", "hi", "lo", "block"])
+
+
+def _members(rows: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    bucket, ids, hi, lo = rows
+    columns = [pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(bucket), pa.array(hi), pa.array(lo), pa.array(block.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket", "hi", "lo", "block"])
+
+
+def near_links(entries: DataFrame, radius: int, chunk: int = 200_000, block: int = BLOCK) -> DataFrame:
     """``(a, b)``, b < a: stars over the verified pairs of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = references()
-        held: list[np.ndarray] = []
 
-        def solve(rows: np.ndarray) -> pa.RecordBatch:
-            a, b, _ = links(*rows, refs, radius)
-            a, b = stars(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            size = np.diff(np.append(edge, rows.shape[1]))
+            for start, length in zip(edge[size > block], size[size > block]):
+                yield _members(rows[:, start : start + length], np.arange(length) // block)
+            a, b, _ = links(*rows[:, np.repeat(size <= block, size)], refs, radius)
+            yield _found(*stars(a, b))
 
-        total = 0
+        held: list[np.ndarray] = []
+        total = passed = 0
+        large = None  # the bucket whose members are passed on
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            total += batch.num_rows
+            fresh = np.stack([c.to_numpy() for c in batch.columns])
+            if large is not None:
+                end = int(np.searchsorted(fresh[0], large, "right"))
+                if end:
+                    yield _members(fresh[:, :end], (passed + np.arange(end)) // block)
+                    passed, fresh = passed + end, fresh[:, end:]
+                if not fresh.shape[1]:
+                    continue
+                large = None
+            held.append(fresh)
+            total += fresh.shape[1]
             if total > chunk:
                 rows = np.concatenate(held, axis=1)
                 cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
                 if cut:
-                    yield solve(rows[:, :cut])
-                held, total = [rows[:, cut:]], rows.shape[1] - cut
-        if held:
-            yield solve(np.concatenate(held, axis=1))
+                    yield from solve(rows[:, :cut])
+                rows = rows[:, cut:]
+                if rows.shape[1] > block:
+                    large, passed = rows[0, -1], rows.shape[1]
+                    yield _members(rows, np.arange(passed) // block)
+                    rows = rows[:, :0]
+                held, total = [rows], rows.shape[1]
+        if total:
+            yield from solve(np.concatenate(held, axis=1))
 
     placed = entries.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    found = materialize(placed.mapInArrow(run, _FOUND), "links")
+    pairs = found.filter("b is not null").select("a", "b")
+    members = found.filter("b is null").select("bucket", "block", F.col("a").alias("doc_id"), "hi", "lo")
+    blocks = members.groupBy("bucket").agg((F.max("block") + 1).cast("long").alias("blocks"))
+    tasks = blocks.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0]
+    return pairs if tasks is None else pairs.union(_block_links(members, blocks, radius, int(tasks)))
+
+
+def _block_links(members: DataFrame, blocks: DataFrame, radius: int, tasks: int) -> DataFrame:
+    """Links of large buckets: every two blocks of a bucket meet in a group of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = references()
+
+        def solve(rows: np.ndarray) -> pa.RecordBatch:
+            block, ids, hi, lo = rows[3:]
+            numbers = np.unique(block)
+            a, b = sweep(hi, lo, pivot_table(hi, lo, refs), [np.flatnonzero(block == n) for n in numbers], radius, {"pairs": 0, "survivors": 0})
+            return pa.RecordBatch.from_arrays([*map(pa.array, stars(ids[a], ids[b]))], ["a", "b"])
+
+        held = np.zeros((7, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            ends = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *ends], ends):
+                yield solve(held[:, start:end])
+            if len(ends):
+                held = held[:, ends[-1] :]
+        if held.shape[1]:
+            yield solve(held)
+
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    spread = members.join(blocks, "bucket").select("bucket", F.col("block").cast("long").alias("block"), "doc_id", "hi", "lo", other)
+    met = spread.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "hi", "lo")
+    # by number: the work is in the pairs, and adaptive execution goes by bytes
+    placed = met.repartition(min(tasks, 10_000), "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "block")
     return placed.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "stars") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "stars", then_release: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``(doc_id, keep_id)`` with the smallest id of each component, for all other members.
 
     Alternates large-star and small-star until nothing changes; every round is
-    written, so neither plan nor lineage grows.
+    written, so neither plan nor lineage grows.  ``then_release`` are staged tables
+    that nothing but ``edges`` reads.
     """
     state = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("u < v").distinct(), label)
+    for table in then_release:
+        release(table)
     mark = _checksum(state)
     while True:
         both = state.select(F.col("v").alias("n"), F.col("u").alias("m")).union(state.select(F.col("u").alias("n"), F.col("v").alias("m")))
-        around = Window.partitionBy("n")
-        large = both.withColumn("low", F.least(F.min("m").over(around), F.col("n"))).filter("m > n").select(F.col("m").alias("v"), F.col("low").alias("u"))
-        low = Window.partitionBy("v")
-        small = large.filter("u < v").distinct().withColumn("low", F.min("u").over(low))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("low").alias("u")), F.struct(F.col("u").alias("v"), F.col("low").alias("u")))).alias("e"))
+        lowest = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        large = both.filter("m > n").join(lowest, "n").select(F.col("m").alias("v"), F.col("low").alias("u")).filter("u < v").distinct()
+        large = materialize(large, label)
+        lowest = large.groupBy("v").agg(F.min("u").alias("low"))
+        small = large.join(lowest, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("low").alias("u")), F.struct(F.col("u").alias("v"), F.col("low").alias("u")))).alias("e"))
         after = materialize(small.select("e.v", "e.u").filter("u < v").distinct(), label)
         seen = _checksum(after)
         release(state)
+        release(large)
         state = after
         if seen == mark:
             return state.select(F.col("v").alias("doc_id"), F.col("u").alias("keep_id"))
@@ -346,35 +463,37 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def sizing(documents: int) -> tuple[int, int]:
+def sizing(documents: int, radius: int = 20) -> tuple[int, int]:
     """Number of tables and bits of a key for a corpus.
 
-    Up to ``2**24`` documents 14 tables of 24 bits; beyond, one bit more for each
-    doubling, so that chance meetings per document stay as many, and more tables,
-    so that recall stays above 0.9 (measured in the README).
+    14 tables of 24 bits while ``documents`` are at most ``CROWD`` for each key; then a
+    bit more for each doubling.  Each bit more makes a pair at the radius miss in a
+    ``radius / 128`` of the tables where it met, so there are as many more tables.
     """
-    key_bits = max(24, math.ceil(math.log2(max(1, documents))))
-    return math.ceil(14 * 1.135 ** (key_bits - 24)), key_bits
+    key_bits = max(24, math.ceil(math.log2(max(1, documents / CROWD))))
+    return math.ceil(14 * (BITS / (BITS - radius)) ** (key_bits - 24)), key_bits
 
 
-def near_duplicates(docs: DataFrame, radius: int = 20, tables: int | None = None, key_bits: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 20, tables: int | None = None, key_bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(doc_id, keep_id)`` for every document that a smaller id of its group stands for."""
-    sized = sizing(docs.select("doc_id").count()) if tables is None or key_bits is None else (tables, key_bits)
+    sized = sizing(docs.select("doc_id").count(), radius) if tables is None or key_bits is None else (tables, key_bits)
     samples = sample_tables(*(given or default for given, default in zip((tables, key_bits), sized)))
-    same = Window.partitionBy("hi", "lo")
-    prints = fingerprints(docs, samples)
-    prints = materialize(prints.withColumn("first", F.min("doc_id").over(same)), "prints")
-    unique = prints.filter("doc_id = first").groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "weak")).alias("p"))
-    unique = unique.select("doc_id", "p.*")
-    near = near_links(probes(unique, samples), radius)
-    equal = prints.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return components(near.union(equal))
+    prints = materialize(fingerprints(docs, samples), "prints")
+    # equal fingerprints are combined before the shuffle, however many there are
+    firsts = prints.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "weak")).alias("p"), F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts.select("hi", "lo", "p.*", "n"), "firsts")
+    unique = firsts.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "weak")).alias("p")).select("doc_id", "p.*")
+    near = near_links(probes(unique, samples), radius, block=block)
+    shared = firsts.filter("n > 1").select("hi", "lo", F.col("doc_id").alias("b"))
+    equal = prints.select("hi", "lo", F.col("doc_id").alias("a")).join(shared, ["hi", "lo"]).filter("a <> b").select("a", "b")
+    return components(near.union(equal), then_release=(prints, firsts))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents that another of their group stands for."""
-    lost = near_duplicates(docs, **params).select(F.col("doc_id").alias("__id"))
-    return docs.join(lost, docs["doc_id"] == lost["__id"], "left_anti")
+    (key,) = unused(docs, "__id")
+    lost = near_duplicates(docs, **params).select(F.col("doc_id").alias(key))
+    return docs.join(lost, docs["doc_id"] == lost[key], "left_anti")
 
 
 def op3_simhash_pivots(spark, sf_dir: str) -> DataFrame:
