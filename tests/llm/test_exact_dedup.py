@@ -56,8 +56,19 @@ def test_long_texts_differ_in_their_last_character(spark):
     assert rows(D.duplicates(documents(spark, [(1, long + "a"), (2, long + "b"), (3, long + "a")]))) == [(3, 1)]
 
 
-def test_rounds_grow_with_the_corpus():
-    assert [D.rounds_for(n, 8) for n in (0, 64_000_000, 64_000_001, 50_000_000_000)] == [2, 2, 3, 6]
+def test_partitions_grow_with_the_corpus():
+    assert [D.shape_for(n) for n in (0, 64_000_000, 65_000_000)] == [(8, 2), (8, 2), (9, 2)]
+    for n in (10**9, 5 * 10**10, 10**12):
+        fan_in, rounds = D.shape_for(n)
+        assert fan_in <= 32 and n / 1e6 <= fan_in**rounds < 2 * n / 1e6
+
+
+def test_copies_of_one_text_stay_spread(spark):
+    data = [(i, "hot" if i % 3 else f"t{i}") for i in range(3000)]
+    merged = D.tree_merge(D.entries(documents(spark, data).repartition(12)), 4, 2)
+    held = merged.select(F.spark_partition_id().alias("p"), "copies").groupBy("p").count().collect()
+    assert max(r["count"] for r in held) < 1200  # 2,000 rows of one text
+    assert sorted(r["copies"] for r in merged.filter("copies > 1").collect()) == [2000]
 
 
 def test_empty_table(spark):
@@ -76,7 +87,8 @@ def test_runs_merge_into_a_sorted_run_of_smallest_ids():
     digest = np.concatenate(runs)
     check = np.stack([digest % 3, digest * 0, rng.randint(0, 2, len(digest)), digest * 0], axis=1)
     ids, missing = rng.permutation(len(digest)), rng.rand(len(digest)) < 0.2
-    kept = D.merge_runs(digest, check, np.zeros(len(digest), np.int64), ids, missing)
+    order, begins = D.merge_runs(digest, check, np.zeros(len(digest), np.int64), ids, missing)
+    kept = order[begins]
     best = {}
     for i in range(len(digest)):
         key = (digest[i], *check[i])
