@@ -84,3 +84,9 @@ def test_repeated_rows_are_drawn_together_and_columns_stay(spark):
 
 def test_empty_table(spark):
     assert rows(M.copies(documents(spark, []))) == [] and ids(M.mix_documents(documents(spark, []))) == []
+
+
+def test_long_texts_count_whole(spark):
+    data = [(1, "x" * 3_000_000, "a"), (2, "y" * 10, "a"), (3, "z" * 1000, "b"), (4, "z" * 1000, "b")]
+    want = sorted((i, s, n) for (i, s), n in brute(data).items())
+    assert sorted(map(tuple, M.copies(documents(spark, data)).collect())) == want

@@ -20,8 +20,9 @@ Defined results: a null source counts as the source ``''``; a null or empty text
 has no characters but is drawn like the others; rows that repeat an id within a
 source are one document, drawn together (their characters add up); null ids come
 first in the hash order; a source whose documents are all empty, or with weight
-0, is not drawn; an empty table gives an empty table; ties of the hash are
-broken by the id.  Other columns pass through :func:`mix_documents` untouched.
+0, is not drawn; a text counts with its whole length, whatever that is; an empty
+table gives an empty table; ties of the hash are broken by the id.  Other
+columns, whatever their names, pass through :func:`mix_documents` untouched.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.llm.columns import own, unused
 from treeloom.plans.staging import materialize
 
 ONE = 1 << 32
@@ -94,9 +96,11 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     The text moves once, in the join with the copies, unless those are small
     enough for Spark to broadcast.
     """
-    drawn = copies(docs, **params).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").cast("int").alias("__copies"))
-    here = docs["doc_id"].eqNullSafe(drawn["__id"]) & (F.coalesce(docs["source"], F.lit("")) == drawn["__source"])
-    return docs.join(drawn, here).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__again")).drop("__again")
+    key, place, times, again = unused(docs, "__id", "__source", "__copies", "__again")
+    drawn = copies(docs, **params).select(F.col("doc_id").alias(key), F.col("source").alias(place), F.col("copies").cast("int").alias(times))
+    here = docs["doc_id"].eqNullSafe(drawn[key]) & (F.coalesce(docs["source"], F.lit("")) == drawn[place])
+    emitted = docs.join(drawn, here).select(*own(docs), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(again))
+    return emitted.select(*own(docs))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
