@@ -48,7 +48,7 @@ def test_op7_covers_every_document(spark):
 
 def test_op8_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    model = language_id.train(language_id.labelled_sample(docs, 600))
+    model = language_id.fit(language_id.labelled_examples(docs, 600))
     got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     taken = got[got["language"] != "und"]
     assert (got["best"] == got["lang"]).mean() >= 0.98 and (taken["language"] == taken["lang"]).mean() >= 0.99 and len(taken) >= 0.95 * len(got)

@@ -7,7 +7,10 @@ matrix; a document is the average of its rows, and a linear softmax gives the
 languages' probabilities.  It is trained here, in numpy, by stochastic gradient
 descent on the labelled rows of the corpus: a hash sample of about
 ``sample_rows`` of them (the documented bound; the model does not need more with
-the corpus), both whole and by single lines, so that short texts are known too.
+the corpus), each whole and, where it has several lines, by one of them besides
+(chosen by a hash of the text), so that short texts are known too.  Subwords are
+counted where the texts are: the driver gets two examples a row at most, of at
+most ``buckets`` numbers and shares each (8 bytes), however long a text is.
 
 *Calibration.*  A fifth of the sample is held out.  A temperature that minimises
 its log-loss makes the probabilities honest, and the rejection threshold is the
@@ -21,9 +24,10 @@ fixed table of ``buckets`` rows.
 Defined results: a text without letters (null and empty too) is ``und`` with
 confidence 0; rows without a label are scored but not trained on; with no labelled
 row at all everything is ``und``; with one label only, that label has confidence 1;
-a null id is returned with its language; repeated rows are returned each; an
-empty table gives an empty table; ties go to the first language in alphabetical
-order; other columns are not looked at.
+a null id is returned with its language; repeated rows are returned each, and
+are held out or trained on together; texts are read whole; an empty table gives
+an empty table; ties go to the first language in alphabetical order; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,8 @@ from pyspark.sql import functions as F
 from treeloom.plans.staging import ship
 
 ORDERS = (2, 3, 4)
+#: Rows of the embedding matrix.
+BUCKETS = 1 << 15
 _OTHER = re.compile(r"[^\W\d_]+")
 
 
@@ -90,18 +97,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, width: int = 16, epochs: int = 5, rate: float = 0.5, precision: float = 0.99, seed: int = 3) -> Model:
+Example = tuple[np.ndarray, np.ndarray, str]
+
+
+def examples_of(text: str, language: str, buckets: int) -> list[Example]:
+    """Subwords, their shares and the language: of the whole text, and of one of its lines if it has several."""
+    import xxhash
+
+    lines = [line for line in text.split("\n") if line.strip()]
+    one = [lines[xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % len(lines)]] if len(lines) > 1 else []
+    out = []
+    for piece in [text, *one]:
+        grams, times = np.unique(ngrams(piece, buckets), return_counts=True)
+        if len(grams):
+            out.append((grams.astype(np.int32), (times / times.sum()).astype(np.float32), language))
+    return out
+
+
+def train(rows: list[tuple[str, str]], buckets: int = BUCKETS, **params) -> Model:
     """A model from ``(text, language)`` rows."""
+    return fit([examples_of(text, language, buckets) for text, language in rows], buckets, **params)
+
+
+def fit(rows: list[list[Example]], buckets: int = BUCKETS, width: int = 16, epochs: int = 5, rate: float = 0.5, precision: float = 0.99, seed: int = 3) -> Model:
+    """A model from the examples of rows; every fifth row is held out."""
     rng = np.random.RandomState(seed)
-    languages = sorted({language for _, language in rows})
+    languages = sorted({language for own in rows for _, _, language in own})
     number = {language: k for k, language in enumerate(languages)}
-    examples: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
-    for k, (text, language) in enumerate(rows):
-        lines = [line for line in text.split("\n") if line.strip()]
-        for piece in [text, *([lines[rng.randint(len(lines))]] if len(lines) > 1 else [])]:
-            grams, times = np.unique(ngrams(piece, buckets), return_counts=True)
-            if len(grams):
-                examples.append((grams, (times / times.sum()).astype(np.float32), number[language], k % 5 == 4))
+    examples = [(grams, share, number[language], k % 5 == 4) for k, own in enumerate(rows) for grams, share, language in own]
     learn = [e for e in examples if not e[3]]
     held = [e for e in examples if e[3]] or learn
     if not learn:
@@ -140,15 +163,33 @@ def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(-(logits[np.arange(len(truth)), truth] - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1))).mean())
 
 
-def labelled_sample(docs: DataFrame, sample_rows: int) -> list[tuple[str, str]]:
-    """About ``sample_rows`` labelled rows, chosen by a hash of id and text."""
+def labelled_examples(docs: DataFrame, sample_rows: int, buckets: int = BUCKETS) -> list[list[Example]]:
+    """Examples of about ``sample_rows`` labelled rows, chosen by a hash of id and text, in the order of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            found = [(doc_id, piece, *own) for doc_id, text, language in rows for piece, own in enumerate(examples_of(text, language, buckets))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f[0] for f in found], batch.schema.field(0).type),
+                    pa.array([f[1] for f in found], pa.int32()),
+                    pa.array([f[2].tobytes() for f in found], pa.binary()),
+                    pa.array([f[3].tobytes() for f in found], pa.binary()),
+                    pa.array([f[4] for f in found], pa.string()),
+                ],
+                ["doc_id", "piece", "grams", "shares", "lang"],
+            )
+
+    ship(docs.sparkSession)
     labelled = docs.filter("lang is not null and text is not null")
     n = labelled.select("lang").count()
-    share = min(1.0, sample_rows / max(1, n))
-    chosen = F.xxhash64(F.lit("lang-sample"), "doc_id", F.length("text")).bitwiseAND(F.lit((1 << 32) - 1)) < F.lit(int(share * (1 << 32)) + 1)
-    rows = labelled.filter(chosen).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return [(r["text"], r["lang"]) for r in rows]
+    part = min(1.0, sample_rows / max(1, n))
+    chosen = F.xxhash64(F.lit("lang-sample"), "doc_id", F.length("text")).bitwiseAND(F.lit((1 << 32) - 1)) < F.lit(int(part * (1 << 32)) + 1)
+    narrow = labelled.filter(chosen).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    got = narrow.mapInArrow(run, "doc_id long, piece int, grams binary, shares binary, lang string").collect()
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["lang"], r["grams"], r["shares"]))
+    return [[(np.frombuffer(r["grams"], np.int32), np.frombuffer(r["shares"], np.float32), r["lang"]) for r in own] for _, own in groupby(got, key=lambda r: r["doc_id"])]
 
 
 _OUT = "doc_id long, best string, confidence double, language string"
@@ -174,7 +215,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def label_corpus(docs: DataFrame, sample_rows: int = 3000, **params) -> DataFrame:
-    return identify(docs, train(labelled_sample(docs, sample_rows), **params))
+    return identify(docs, fit(labelled_examples(docs, sample_rows), **params))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
