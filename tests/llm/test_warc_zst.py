@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import uuid
 
 import zstandard
 from llm.tables import rows
@@ -78,3 +79,43 @@ def test_training_reads_all_positions_of_all_samples():
     samples = [html(i).encode() + hashlib.sha512(str(i).encode()).hexdigest().encode() * 3 for i in range(200)]
     made = lambda accel: zstandard.train_dictionary(8192, samples, k=200, d=8, f=18, accel=accel, steps=1, split_point=1.0).as_bytes()
     assert W.train(samples, 8192).as_bytes() == made(1) != made(4)
+
+
+def test_few_records_have_a_dictionary_too(spark):
+    for n in (1, 2, 7):
+        folder = new_path(spark, "test-raw")
+        data = [(i, f"u{i}", html(i)) for i in range(n)]
+        out = W.write(pages(spark, data), folder).collect()
+        with open(path(folder, out[0]["file"]), "rb") as stream:
+            dictionary = W.read_dictionary(stream)
+        assert len(dictionary.as_bytes()) > 100
+        for r in out:
+            assert data[r["page_id"]][2].encode() in W.read_record(path(folder, r["file"]), r["offset"], r["length"])
+            with open(path(folder, r["file"]), "rb") as stream:
+                stream.seek(r["offset"])
+                frame = stream.read(r["length"])
+            assert len(frame) < len(zstandard.ZstdCompressor(level=6).compress(W.read_record(path(folder, r["file"]), r["offset"], r["length"])))
+
+
+def plain_record(page_id, url, body):
+    payload = (body or "").encode()
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"response:{'null' if page_id is None else page_id}:{url or ''}")
+    target = [f"WARC-Target-URI: {url}"] if url else []
+    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2024-01-01T00:00:00Z", *target, f"WARC-Payload-Digest: sha1:{digest}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + http + b"\r\n\r\n", digest
+
+
+def test_index_and_bytes_equal_a_plain_version_with_ties(spark):
+    data = [(i % 30, f"u{i % 30}", html(i % 3)) for i in range(90)] + [(None, None, None), (None, None, None), (5, None, "x"), (5, None, "a")]
+    folder = new_path(spark, "test-plain")
+    out = W.write(pages(spark, data).repartition(4), folder).collect()
+    assert len(out) == len(data) and {r["file"] for r in out} == {"shard-000000.warc.zst"}
+    made = [(key, url, *plain_record(key, url, body), len((body or "").encode())) for key, url, body in data]
+    assert sorted(((r["page_id"], r["url"], r["payload_sha1"], r["record_bytes"], r["payload_bytes"]) for r in out), key=repr) == sorted(((k, u, d, len(c), n) for k, u, c, d, n in made), key=repr)
+    got = [W.read_record(path(folder, r["file"]), r["offset"], r["length"]) for r in sorted(out, key=lambda r: r["offset"])]
+    assert sorted(got) == sorted(c for _, _, c, _, _ in made)
+    order = [(r["page_id"] is not None, r["page_id"] or 0, r["url"] or "") for r in sorted(out, key=lambda r: r["offset"])]
+    assert order == sorted(order)

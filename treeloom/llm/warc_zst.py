@@ -11,13 +11,15 @@ The result is the index: one row for each page with file, offset and length of
 its frame, sizes and the SHA-1 of its payload in base 32, as archive indexes use.
 Pages are dealt to shards of about ``shard_mb`` by the bytes counted over the whole
 table, by a hash of id and address, so shards are the same whatever the input's
-partitioning.
+partitioning.  A task makes one shard, or several, one after another, where there
+are more than ``TASKS`` of them.
 
 Defined results: a null page body is an empty payload and a null address an empty
 target; a null id is written as ``null``; repeated rows are written each, with one
-record id; a shard of too few records to train on (Zstandard needs several) gets
-an empty dictionary frame and plain frames; an empty table gives an empty index and
-no file; other columns are not looked at.
+record id, in an order by id, address and payload that leaves no tie to chance;
+payloads are archived whole, whatever their length; records of a shard that are too
+few or too unlike for the trainer are its dictionary themselves, as raw content; an
+empty table gives an empty index and no file; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from treeloom.llm.shards import Shard
 from treeloom.plans.staging import new_path, ship
 
 MAGIC = 0x184D2A5D
+#: Partitions of the shuffle that deals pages to shards.
+TASKS = 16_384
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -53,16 +57,19 @@ def record(kind: str, key: str, target: str, date: str, content_type: str, paylo
 
 
 def train(samples: list[bytes], size: int):
-    """A dictionary over all samples, or None where Zstandard can't make one."""
+    """A dictionary over all samples.
+
+    Samples that Zstandard's trainer has too little of (it wants several, with
+    something in common) are a dictionary themselves, as raw content: the last
+    ``size`` bytes of them.
+    """
     import zstandard
 
-    if len(samples) < 8:
-        return None
     try:
         # fixed parameters of the fast cover trainer, so that its result is reproducible; accel=1 reads all positions of all samples
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 16)), samples, k=200, d=8, f=18, accel=1, steps=1, split_point=1.0)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def skippable(content: bytes) -> bytes:
@@ -87,9 +94,8 @@ def write(pages: DataFrame, folder: str, shard_mb: int = 16, dictionary_bytes: i
         name = f"shard-{number:06d}.warc.zst"
         shard = Shard(folder, name)
         try:
-            plain = zstandard.ZstdCompressor(level=level)
-            own = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True) if dictionary else plain
-            front = skippable(plain.compress(dictionary.as_bytes()) if dictionary else b"")
+            own = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True)
+            front = skippable(zstandard.ZstdCompressor(level=level).compress(dictionary.as_bytes()))
             info, _ = record("warcinfo", f"{name}:{len(made)}", "", date, "application/warc-fields", b"format: WARC File Format 1.1\r\n", False)
             start = front + own.compress(info)
             shard.sink.write(start)
@@ -141,19 +147,19 @@ def write(pages: DataFrame, folder: str, shard_mb: int = 16, dictionary_bytes: i
     total = narrow.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 400)).first()[0] or 0
     shards = max(1, math.ceil(total / (shard_mb * 1_000_000)))
     dealt = narrow.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(shards)).cast("long").alias("shard"), "page_id", "url", "html")
-    placed = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "url", F.xxhash64("html"))
+    tasks = min(shards, TASKS)
+    placed = dealt.repartitionById(tasks, F.pmod(F.col("shard"), F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "page_id", "url", F.xxhash64("html"))
     return placed.mapInArrow(run, _OUT)
 
 
 def read_dictionary(stream: io.BufferedIOBase):
-    """The dictionary in a file's leading frame; None if it is empty."""
+    """The dictionary in a file's leading frame."""
     import zstandard
 
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != MAGIC:
         raise ValueError("no dictionary frame")
-    content = stream.read(size)
-    return zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(content)) if content else None
+    return zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(stream.read(size)))
 
 
 def read_record(path: str, offset: int, length: int) -> bytes:
@@ -163,7 +169,7 @@ def read_record(path: str, offset: int, length: int) -> bytes:
     with open(path, "rb") as stream:
         dictionary = read_dictionary(stream)
         stream.seek(offset)
-        return zstandard.ZstdDecompressor(dict_data=dictionary).decompress(stream.read(length)) if dictionary else zstandard.ZstdDecompressor().decompress(stream.read(length))
+        return zstandard.ZstdDecompressor(dict_data=dictionary).decompress(stream.read(length))
 
 
 def op9_warc_dictionary(spark, sf_dir: str) -> DataFrame:
