@@ -52,3 +52,21 @@ def test_empty_table_writes_no_file(spark):
     folder = new_path(spark, "test-none")
     assert rows(T.write(documents(spark, []), folder)) == []
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_index_equals_a_plain_version(spark):
+    data = [(i, prose(3 + i * 29, i)) for i in range(30)] + [(70, None), (71, ""), (None, "x"), (72, "tie"), (72, "tie"), (72, "tie")]
+    encode, size = tokenizing.load(tokenizing.DEFAULT_FILE)
+    want = []
+    for doc_id, text in data:
+        ids = encode(text) + [size - 1] if text else []
+        for seq in range(max(1, (len(ids) + 15) // 16)):
+            own = ids[seq * 16 : seq * 16 + 16]
+            want.append((doc_id, seq, len(own), sum((k + 1) * t for k, t in enumerate(own))))
+    out = T.write(documents(spark, data, clash=True).repartition(3), new_path(spark, "test-index"), length=16, batch_rows=8).collect()
+    assert sorted(((r["doc_id"], r["seq"], r["n_tokens"], r["checksum"]) for r in out), key=repr) == sorted(want, key=repr)
+    places = [(r["file"], r["batch"], r["row"]) for r in out]
+    assert len(set(places)) == len(out) and all(r["row"] < 8 for r in out)
+    for file in {f for f, _, _ in places}:  # batches are full but for the last
+        batches = [b for f, b, _ in places if f == file]
+        assert [batches.count(b) for b in range(max(batches))] == [8] * max(batches)
