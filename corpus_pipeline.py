@@ -1,11 +1,24 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage reads what its predecessor kept, whole, and all but the last return the
+columns of the documents as they came, whatever their names.
+
+Defined results, by the operators' own rules: a null or blank text is rejected
+with the rule ``empty``, so later stages see texts only; a null source counts as
+``''``; a null id is kept until it repeats an exact text, is not compared for near
+copies, and is drawn and packed as the id null; rows that repeat an id and a text
+become one, rows that repeat an id with other texts are one document to the near
+duplicates and to the mixture; texts are read whole, and one too long for a
+sequence is packed in parts; ties go to the smaller id; an empty table gives an
+empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from treeloom.plans.staging import materialize
+from treeloom.plans.staging import materialize, release, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places in bins: one row for each part of each document."""
-    return packing.pack(packing.document_examples(docs)).withColumnRenamed("id", "doc_id")
+    limits = packing.DOCUMENT_LIMITS
+    return packing.pack(packing.document_examples(docs, limits), limits).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mix), ("packing", pack)]
@@ -36,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed sequences; what a stage staged goes when its result is written, and that when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with staged() as own:
+            made = stage(spark, docs, sf_dir)
+        docs = materialize(made, name.replace(" ", "-"))
+        for table in [*own, *([before] if before is not None else [])]:
+            release(table)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
