@@ -68,18 +68,24 @@ class CodeGraph:
         return self._across("contains", "source", "target", class_id)
 
     def get_file_contents(self, file_id: str | None = None) -> DataFrame:
-        """``(of, classes, functions)``: what a file contains, split by type, sorted by id; no row for an unknown id."""
-        held = self._across("contains", "source", "target", None)
+        """``(of, file, classes, functions)``: a node, and the classes, functions and tests that it contains itself.
+
+        All are whole nodes, lists are sorted by id; methods belong to their class and
+        are not listed.  No row for an unknown id.
+        """
+        held = self._across("contains", "source", "target", None).filter(F.col("type").isin("class", "function", "test_function"))
         if file_id is not None:
             held = held.filter(F.col("of") == file_id)
-        item = F.struct("id", "label", "type")
-        pick = lambda which: F.array_sort(F.collect_list(F.when(which, item)))
+        item = F.struct(*self.nodes.columns)
+        by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+        pick = lambda which: F.array_sort(F.collect_list(F.when(which, item)), by_id)
         is_class: Column = F.col("type") == "class"
-        split = held.groupBy("of").agg(pick(is_class).alias("classes"), pick(F.col("type").isin(*schemas.CALLABLE)).alias("functions"))
+        split = held.groupBy("of").agg(pick(is_class).alias("classes"), pick(~is_class).alias("functions"))
         asked = self.nodes if file_id is None else self.node(file_id)
-        empty = F.array().cast("array<struct<id:string,label:string,type:string>>")
-        return asked.select(F.col("id").alias("of")).join(split, "of", "left").select(
-            "of", F.coalesce("classes", empty).alias("classes"), F.coalesce("functions", empty).alias("functions")
+        kind = dict(split.dtypes)["classes"]
+        empty = F.array().cast(kind)
+        return asked.select(F.col("id").alias("of"), item.alias("file")).join(split, "of", "left").select(
+            "of", "file", F.coalesce("classes", empty).alias("classes"), F.coalesce("functions", empty).alias("functions")
         )
 
     def export_subgraph(self, ids: DataFrame | list[str]) -> CodeGraph:

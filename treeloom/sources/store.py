@@ -15,6 +15,8 @@ from treeloom.operators.graph import CodeGraph
 
 #: Columns that are not part of a node's metadata.
 _NODE_KEYS = ("id", "type", "label")
+#: Metadata that graphs of other makers may have; a node without it has null.
+_OPTIONAL = ("branch_count int", "type_hints map<string,string>", "exceptions array<string>")
 _EDGE_META = ("confidence", "import_resolved", "via", "source_tool", "derived_from")
 
 
@@ -90,7 +92,7 @@ def export_graph_json(graph: CodeGraph, folder: str) -> list[str]:
 
 
 def _node_schema() -> str:
-    fields = [f for f in _split(schemas.NODES) if f.split()[0] not in (*_NODE_KEYS, "commit", "src_path", "emit_ord")]
+    fields = [f for f in [*_split(schemas.NODES), *_OPTIONAL] if f.split()[0] not in (*_NODE_KEYS, "commit", "src_path", "emit_ord")]
     inner = ",".join(":".join(f.split(None, 1)) for f in fields)
     return f"struct<id:string,type:string,label:string,metadata:struct<{inner}>>"
 
@@ -111,7 +113,7 @@ _EDGE_SCHEMA = "struct<source:string,target:string,relation:string,metadata:stru
 
 def _nodes_of(docs: DataFrame, column: str, *keep) -> DataFrame:
     flat = docs.select(*keep, F.explode(column).alias("x"))
-    rest = [f.split()[0] for f in _split(schemas.NODES) if f.split()[0] not in (*_NODE_KEYS, "repo", "commit", "src_path", "emit_ord")]
+    rest = [f.split()[0] for f in [*_split(schemas.NODES), *_OPTIONAL] if f.split()[0] not in (*_NODE_KEYS, "repo", "commit", "src_path", "emit_ord")]
     return flat.select(*[k for k in keep], "x.id", "x.type", "x.label", *[F.col(f"x.metadata.{c}").alias(c) for c in rest])
 
 
