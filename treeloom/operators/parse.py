@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 from treeloom.functions import naming, pysource, schemas
 from treeloom.plans.staging import materialize, ship
 
+#: Rows of several small files go back to Spark together.
+_BATCH_ROWS = 4096
 _NAMES = {"entity": 5, "reference": 6, "site": 7}
 
 
@@ -40,9 +42,9 @@ def parse_lazily(files: DataFrame) -> DataFrame:
     kinds = {name: [f.name for f in arrow.field(at).type] for name, at in _NAMES.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for file in batch.to_pylist():
-                rows = []
                 for at, (kind, columns) in enumerate(pysource.facts(file["repo"], file["path"], file["content"])):
                     row = {"repo": file["repo"], "commit": file["commit"], "src_path": file["path"], "emit_ord": at, "kind": kind}
                     row[kind] = {name: columns.get(name) for name in kinds[kind]}
@@ -56,8 +58,11 @@ def parse_lazily(files: DataFrame) -> DataFrame:
                             "parameter_usage": list(flows["parameter_usage"].items()),
                         }
                     rows.append({name: row.get(name) for name in arrow.names})
-                if rows:
+                if len(rows) >= _BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     ship(files.sparkSession)
     return source_files(files).select("repo", "commit", "path", "content").mapInArrow(run, schemas.PARSED)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.plans.staging import materialize
+from treeloom.plans.staging import materialize, release
 
 BOTH = ("outgoing", "incoming")
 #: Relations that a context is cut out along, unless others are asked for.
@@ -123,7 +123,8 @@ def _trim(live: DataFrame) -> DataFrame:
     while n:
         both = live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")), "x", "left_semi")
         kept = live.join(both.withColumnRenamed("x", "u"), "u", "left_semi").join(both.withColumnRenamed("x", "v"), "v", "left_semi")
-        live = materialize(kept.select("u", "v"), "live")
+        before, live = live, materialize(kept.select("u", "v"), "live")
+        release(before)
         m = live.count()
         if m == n:
             break
@@ -134,9 +135,12 @@ def _trim(live: DataFrame) -> DataFrame:
 def _colors(live: DataFrame) -> DataFrame:
     """``(id, color)``: the largest id from which each node can be reached, itself included."""
     colors = frontier = materialize(live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("color", F.col("id")), "colors")
+    last = colors
     while not frontier.isEmpty():
         offered = live.join(frontier.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.max("color").alias("offered"))
         marked = materialize(colors.join(offered, "id", "left").select("id", F.greatest("color", "offered").alias("color"), (F.col("offered") > F.col("color")).alias("moved")), "colors")
+        release(last)
+        last = marked
         frontier = marked.filter("moved").select("id", "color")
         colors = marked.select("id", "color")
     return colors
