@@ -115,7 +115,7 @@ def resolve_accesses(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     return _edge(rows, "accesses", 0, confidence=F.col("confidence"))
 
 
-def _named(index: DataFrame) -> DataFrame:
+def named_index(index: DataFrame) -> DataFrame:
     """``(repo, commit, name, hit, n)`` with the number of hits of the name."""
     counted = index.groupBy(*SNAP, "label").agg(F.count(F.lit(1)).alias("n"))
     return index.select(*SNAP, F.col("label").alias("name"), F.col("id").alias("hit"), F.struct("src_path", "emit_ord").alias("hit_order")).join(
@@ -123,22 +123,22 @@ def _named(index: DataFrame) -> DataFrame:
     )
 
 
-def _sure(n: Column) -> Column:
+def sure(n: Column) -> Column:
     return F.when(n == 1, "exact").otherwise("ambiguous")
 
 
 def resolve_inherits(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = raw.filter("relation = 'inherits' and not resolved").withColumn("name", naming.last_part(F.col("target"))).drop("target")
-    rows = rows.join(_named(classes(nodes)), [*SNAP, "name"]).withColumnRenamed("hit", "target")
-    return _edge(rows, "inherits", 0, confidence=_sure(F.col("n")))
+    rows = rows.join(named_index(classes(nodes)), [*SNAP, "name"]).withColumnRenamed("hit", "target")
+    return _edge(rows, "inherits", 0, confidence=sure(F.col("n")))
 
 
 def resolve_named_tests(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """``test_x`` tests every callable ``x``."""
     bare = F.when(F.col("target").startswith("test_"), F.expr("substring(target, 6)")).otherwise(F.col("target"))
     rows = raw.filter("relation = 'tests' and not resolved").withColumn("name", bare).drop("target")
-    rows = rows.join(_named(callables(nodes)), [*SNAP, "name"]).withColumnRenamed("hit", "target")
-    return _edge(rows, "tests", 0, confidence=_sure(F.col("n")))
+    rows = rows.join(named_index(callables(nodes)), [*SNAP, "name"]).withColumnRenamed("hit", "target")
+    return _edge(rows, "tests", 0, confidence=sure(F.col("n")))
 
 
 def resolve_uses(raw: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def resolve_uses(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     also name its source; then every class of that name is a source.
     """
     raw = raw.filter("relation = 'uses' and not resolved")
-    named = _named(classes(nodes)).select(*SNAP, "name", "hit", "n")
+    named = named_index(classes(nodes)).select(*SNAP, "name", "hit", "n")
     taken = callables(nodes).select(*SNAP, F.col("label").alias("name")).distinct().withColumn("taken", F.lit(True))
     known = named.join(taken, [*SNAP, "name"], "left").withColumn("unsure", (F.col("n") > 1) | F.coalesce("taken", F.lit(False))).select(*SNAP, "name", "hit", "unsure")
     rows = raw.withColumnRenamed("target", "name").join(known, [*SNAP, "name"]).withColumnRenamed("hit", "target").drop("name")

@@ -1,8 +1,8 @@
 """The driver's tables read as graphs and as source trees.
 
 ``relational_graph``: regions are files, nations classes, suppliers functions,
-customers methods, orders tests and parts imports.  ``part_graph``: parts joined by
-the first two lines of an order.  ``generated_files``: Python text made of rows, so
+customers methods, orders tests and parts imports.  ``part_graph``: parts on
+successive lines of an order.  ``generated_files``: Python text made of rows, so
 that what parsing and resolution must find follows from the tables.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.build import build_graph
+from treeloom.functions import naming
 from treeloom.operators.graph import CodeGraph
 from treeloom.plans.staging import exists, materialize, shared_dir
 
@@ -64,7 +65,7 @@ select 'part_' || p_partkey as id, 'function' as type, p_name as label, cast(nul
 
 PART_EDGES_SQL = """
 select distinct 'part_' || a.l_partkey as source, 'part_' || b.l_partkey as target, 'uses' as relation
-from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2"""
+from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1"""
 
 
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -190,6 +191,88 @@ def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select(F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("commit"), "path", "content")
 
 
+STUB = """class Nation{n}:
+    def __init__(self, name):
+        self.name = name
+
+    def build(self):
+        return self.name
+"""
+EXTRA = '''"""Extras of nation {n}."""
+from stubs.nation_{n} import Nation{n}
+
+
+class Twin:
+    def __init__(self):
+        self.seen = 0
+
+
+class Keeper{n}(Twin):
+    def fill(self):
+        """Fill keeper {n}."""
+        item = make_{n}()
+        self.count = item
+        return self.seen
+
+    def twin(self):
+        return Twin()
+
+
+class Other{n}:
+    def fill(self):
+        return not self.full
+
+
+def make_{n}():
+    """Make nation {n}."""
+    built = Nation{n}('x')
+    try:
+        built.build()
+    except ValueError:
+        return None
+    return built
+'''
+#: Where the item of a keeper is made, counted from 0.
+SITE = (EXTRA.split("\n").index("        item = make_{n}()"), 8)
+
+
+def extra_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two modules for each nation: names that several classes have, local types, factories, docstrings, handlers."""
+    nation = table(spark, sf_dir, "nation")
+    filled = lambda text: F.replace(F.lit(text), F.lit("{n}"), _n("n_nationkey"))
+    made = [
+        nation.select(_lines(f"{folder}_", _n("n_nationkey"), ".py").alias("path"), filled(text).alias("content")) for folder, text in (("stubs/nation", STUB), ("extras/extra", EXTRA))
+    ]
+    return made[0].unionByName(made[1]).select(F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("commit"), "path", "content")
+
+
+def extra_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a type checker says of each keeper's item, as hover texts."""
+    nation = table(spark, sf_dir, "nation")
+    hover = F.concat(F.lit("(variable) item: `Nation"), _n("n_nationkey"), F.lit("`"))
+    path = _lines("extras/extra_", _n("n_nationkey"), ".py")
+    return nation.select(
+        F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("commit"), path.alias("path"), F.lit(SITE[0]).alias("line"), F.lit(SITE[1]).alias("col"), naming.hover_type(hover).alias("type")
+    )
+
+
+def extra_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    return _kept(spark, sf_dir, "extras", lambda: build_graph(extra_files(spark, sf_dir), resolved_types=extra_types(spark, sf_dir)))
+
+
+def extra_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diff for each nation, in the keeper's ``fill``; the other class of the file has one too."""
+    nation = table(spark, sf_dir, "nation")
+    path = _lines("extras/extra_", _n("n_nationkey"), ".py")
+    patch = _lines(
+        "--- a/", path, "\n+++ b/", path, "\n@@ -11,6 +11,6 @@ class Keeper", _n("n_nationkey"), "(Twin):\n class Keeper", _n("n_nationkey"),
+        "(Twin):\n     def fill(self):\n-        return self.seen\n+        return self.seen + 1\n",
+    )
+    return nation.select(
+        _n("n_nationkey").alias("instance_id"), F.lit(REPO).alias("repo"), F.lit(COMMIT).alias("base_commit"), patch.alias("patch"), path.alias("code_file"), F.lit(None).cast("string").alias("test_file")
+    )
+
+
 def generated_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The resolved graph of the generated sources."""
     return _kept(spark, sf_dir, "generated", lambda: build_graph(generated_files(spark, sf_dir)))

@@ -5,17 +5,21 @@ Results have scalar columns only: lists are sorted and joined, counts are longs.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.build import serialize
 from treeloom.functions import naming
-from treeloom.operators import annotate, diffs, document, parse, traverse, validate
+from treeloom.operators import annotate, diffs, document, parse, resolve, traverse, validate
 from treeloom.operators.context import extract_contexts, seeds_of
 from treeloom.operators.graph import CodeGraph
 from treeloom.operators.resolve import guessed_targets as resolve_guesses
 from treeloom.operators.resolve import nearest_methods
 from treeloom.plans import projections as P
+from treeloom.plans.staging import new_path
+from treeloom.sources import store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,12 +102,12 @@ def is_test_file(spark, sf_dir):
 
 
 @query(
-    """select event_id, case when regexp_matches(split_part(props, ':', -1), '^\\s*[A-Z]') then 1 else 0 end as capital from events""",
+    """select event_id, case when regexp_matches(split_part(props, ':', -1), '^\\s*\\p{Lu}') then 1 else 0 end as capital from events""",
     name="starts_upper",
 )
 def starts_upper_query(spark, sf_dir):
     tail = F.regexp_replace(F.substring_index("props", ":", -1), r"^\s+", "")
-    return P.table(spark, sf_dir, "events").select("event_id", tail.rlike("^[A-Z]").cast("int").alias("capital"))
+    return P.table(spark, sf_dir, "events").select("event_id", naming.starts_upper(tail).cast("int").alias("capital"))
 
 
 @query("select n_nationkey, n_name as type_name from nation")
@@ -147,14 +151,17 @@ def _ids(column: str):
 
 
 @query(
-    f"""with {STAR}, held as (select e.source as of_id, n.id, n.type from edges e join nodes n on n.id = e.target where relation = 'contains')
+    f"""with {STAR}, held as (select e.source as of_id, n.id, n.type, n.label, n.signature from edges e join nodes n on n.id = e.target where relation = 'contains')
     select n.id as of_id, coalesce(string_agg(h.id, ',' order by h.id) filter (h.type = 'class'), '') as classes,
-           coalesce(string_agg(h.id, ',' order by h.id) filter (h.type in ('function', 'method', 'test_function')), '') as functions
+           coalesce(string_agg(h.id, ',' order by h.id) filter (h.type in ('function', 'test_function')), '') as functions,
+           coalesce(string_agg(h.label || h.signature, ',' order by h.id) filter (h.type in ('function', 'test_function')), '') as signatures, any_value(n.type || ' ' || n.label) as file
     from nodes n left join held h on h.of_id = n.id group by n.id"""
 )
 def file_contents(spark, sf_dir):
     found = star(spark, sf_dir).get_file_contents()
-    return found.select(F.col("of").alias("of_id"), _ids("classes").alias("classes"), _ids("functions").alias("functions"))
+    signatures = F.array_join(F.transform("functions", lambda x: F.concat(x["label"], x["signature"])), ",")
+    file = F.concat("file.type", F.lit(" "), "file.label")
+    return found.select(F.col("of").alias("of_id"), _ids("classes").alias("classes"), _ids("functions").alias("functions"), signatures.alias("signatures"), file.alias("file"))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -318,10 +325,10 @@ def node_counts(spark, sf_dir):
        from part l join part r on l.p_name = r.p_name) where k = 1"""
 )
 def resolve_exact_ambiguous(spark, sf_dir):
-    """How sure a part's name is: counted before the join, so common names don't multiply."""
-    part = P.table(spark, sf_dir, "part")
-    counted = part.groupBy("p_name").agg(F.count(F.lit(1)).alias("candidates"))
-    return part.join(counted, "p_name").select("p_partkey", F.when(F.col("candidates") == 1, "exact").otherwise("ambiguous").alias("confidence"), "candidates")
+    """How sure a part's name is, by the engine's index of names."""
+    columns = {"repo": F.lit(""), "commit": F.lit(""), "src_path": F.lit(""), "emit_ord": F.lit(0), "label": F.col("p_name"), "id": F.col("p_partkey")}
+    found = resolve.named_index(P.table(spark, sf_dir, "part").withColumns(columns))
+    return found.select(F.col("hit").alias("p_partkey"), resolve.sure(F.col("n")).alias("confidence"), F.col("n").alias("candidates"))
 
 
 @query("select p_partkey, p_name from (select *, row_number() over (partition by p_name order by p_retailprice, p_partkey) as k from part) where k = 1")
@@ -355,21 +362,23 @@ def val_metadata(spark, sf_dir):
 
 
 def _order_contexts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Each order as a context: its part and supplier lines as seeds and context nodes, with line pairs as edges."""
+    """Each order as a context: the parts of its lines as seed, test and context nodes; later lines use their supplier, successive ones call each other."""
     lines = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("instance_id"), "l_linenumber", "l_partkey", "l_suppkey")
     part = lambda c: F.concat(F.lit("part_"), c)
     supplier = F.concat(F.lit("supplier_"), "l_suppkey")
-    role = F.when(F.col("l_linenumber") == 1, "seed").otherwise("context")
-    nodes = lines.select("instance_id", role.alias("role"), part("l_partkey").alias("id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("label"), F.lit("function").alias("type")).distinct()
-    edges = lines.select("instance_id", part("l_partkey").alias("source"), supplier.alias("target"), F.lit("uses").alias("relation"))
+    role = F.when(F.col("l_linenumber") == 1, "seed").when(F.col("l_linenumber") == 5, "test").otherwise("context")
+    kind = F.when(F.col("l_partkey") % 10 == 0, "file").otherwise("function")
+    nodes = lines.select("instance_id", role.alias("role"), part("l_partkey").alias("id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("label"), kind.alias("type")).distinct()
+    edges = lines.filter("l_linenumber > 1").select("instance_id", part("l_partkey").alias("source"), supplier.alias("target"), F.lit("uses").alias("relation"))
     more = lines.join(lines.select("instance_id", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("q")), "instance_id").filter("k = l_linenumber + 1")
     return nodes, edges.unionByName(more.select("instance_id", part("l_partkey").alias("source"), part("q").alias("target"), F.lit("calls").alias("relation")))
 
 
 ORDERS = """
-cnodes as (select distinct l_orderkey::varchar as instance_id, case when l_linenumber = 1 then 'seed' else 'context' end as role,
-             'part_' || l_partkey as id, 'p' || (l_partkey % 50) as label from lineitem),
-cedges as (select l_orderkey::varchar as instance_id, 'part_' || l_partkey as source, 'supplier_' || l_suppkey as target, 'uses' as relation from lineitem
+cnodes as (select distinct l_orderkey::varchar as instance_id, case l_linenumber when 1 then 'seed' when 5 then 'test' else 'context' end as role,
+             'part_' || l_partkey as id, 'p' || (l_partkey % 50) as label, case when l_partkey % 10 = 0 then 'file' else 'function' end as type from lineitem),
+inside as (select distinct instance_id, id, label, type from cnodes where role <> 'test'),
+cedges as (select l_orderkey::varchar as instance_id, 'part_' || l_partkey as source, 'supplier_' || l_suppkey as target, 'uses' as relation from lineitem where l_linenumber > 1
            union all
            select a.l_orderkey::varchar, 'part_' || a.l_partkey, 'part_' || b.l_partkey, 'calls' from lineitem a join lineitem b
            on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"""
@@ -377,8 +386,8 @@ cedges as (select l_orderkey::varchar as instance_id, 'part_' || l_partkey as so
 
 @query(
     f"""with {ORDERS} select instance_id, source, target, relation, count(*) as n from cedges e
-    where not exists (from cnodes n where n.instance_id = e.instance_id and n.id = e.source)
-       or not exists (from cnodes n where n.instance_id = e.instance_id and n.id = e.target) group by all"""
+    where not exists (from inside n where n.instance_id = e.instance_id and n.id = e.source)
+       or not exists (from inside n where n.instance_id = e.instance_id and n.id = e.target) group by all"""
 )
 def val_broken_edges(spark, sf_dir):
     nodes, edges = _order_contexts(spark, sf_dir)
@@ -405,23 +414,38 @@ def val_seed_connectivity(spark, sf_dir):
 
 
 @query(
-    f"""with {PARTS}, orphans as (select label || ' (function)' as t from nodes where id not in (select source from edges) and id not in (select target from edges)),
-    loops as (select 1 from edges where source = target), lacking as (select 1 from nodes where coalesce(signature, '') = '')
-    select * from (select 'orphans' as check_name, 'error' as severity, count(*) as n from orphans
-    union all select 'self_loops', 'warning', count(*) from loops union all select 'metadata:function', 'warning', count(*) from lacking) where n > 0"""
+    f"""with recursive {PARTS}, reach(a, b) as (select source, target from edges union select r.a, e.target from reach r join edges e on e.source = r.b),
+    bad(check_name, severity, t, k) as (
+      select 'orphans', 'error', label || ' (function)', 5 from nodes where id not in (select source from edges) and id not in (select target from edges)
+      union all select 'cycles', 'warning', label, 3 from nodes where id in (select a from reach where a = b)
+      union all select 'self_loops', 'warning', label, 3 from edges join nodes on id = source where source = target
+      union all select 'metadata:function', 'warning', label || ': signature', 3 from nodes where coalesce(signature, '') = '')
+    select check_name, severity, count(*) as n, array_to_string(list_sort(list(t))[1:any_value(k)], ',') as sample from bad group by check_name, severity"""
 )
 def val_findings(spark, sf_dir):
-    """All graph checks as one table; members of cycles have their own query."""
+    """All graph checks as one table."""
     graph = P.part_graph(spark, sf_dir)
     found = validate.graph_findings(graph.nodes, graph.edges)
-    return found.filter("check <> 'cycles'").select(F.col("check").alias("check_name"), "severity", F.col("count").alias("n"))
+    return found.select(F.col("check").alias("check_name"), "severity", F.col("count").alias("n"), F.array_join("sample", ",").alias("sample"))
 
 
 @query(
     f"""with {ORDERS}, ids as (select distinct o_orderkey::varchar as instance_id from orders),
-    roles as (select instance_id, count(*) filter (role = 'context') as c from cnodes group by instance_id)
+    roles as (select instance_id, count(*) filter (role = 'context') as c, count(*) filter (role = 'test') as t from cnodes group by instance_id),
+    marked as (select e.*, s.id is null as no_source, t.id is null as no_target from cedges e
+               left join inside s on s.instance_id = e.instance_id and s.id = e.source left join inside t on t.instance_id = e.instance_id and t.id = e.target),
+    ends as (select instance_id, source as id from cedges union select instance_id, target from cedges)
     select instance_id, 'small_context' as check_name, 'warning' as severity, 1::bigint as n from ids left join roles using (instance_id) where coalesce(c, 0) < 2
-    union all select instance_id, 'no_tests', 'warning', 1 from ids
+    union all select instance_id, 'no_tests', 'warning', 1 from ids left join roles using (instance_id) where coalesce(t, 0) = 0
+    union all select instance_id, 'orphans', 'error', count(*) from inside anti join ends using (instance_id, id) group by instance_id
+    union all select instance_id, 'broken_edges', 'error', count(*) from marked where no_source or no_target group by instance_id
+    union all select instance_id, 'dangling_ends', 'error', count(distinct t) from (
+      select instance_id, 'source ' || substr(source, 1, 8) as t from marked where no_source
+      union all select instance_id, 'target ' || substr(target, 1, 8) from marked where no_target) group by instance_id
+    union all select instance_id, 'disconnected_seeds', 'error', count(*) from (
+      select distinct instance_id, id from cnodes where role = 'seed') s
+      where not exists (from cedges e where e.instance_id = s.instance_id and e.source = s.id) group by instance_id
+    union all select instance_id, 'seed_types', 'warning', count(*) from cnodes where role = 'seed' and type = 'file' group by instance_id
     union all select instance_id, 'ambiguous_seeds', 'error', count(*) from (
       select instance_id, label from cnodes where role = 'seed' group by all having count(distinct id) > 1) group by instance_id
     union all select instance_id, 'duplicate_edges', 'error', sum(n - 1)::bigint from (
@@ -430,7 +454,7 @@ def val_findings(spark, sf_dir):
 def val_context_findings(spark, sf_dir):
     nodes, edges = _order_contexts(spark, sf_dir)
     ids = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("instance_id"))
-    found = validate.context_findings(ids, nodes, edges).filter(F.col("check").isin("small_context", "no_tests", "ambiguous_seeds", "duplicate_edges"))
+    found = validate.context_findings(ids, nodes, edges)
     return found.select(F.col("owner").alias("instance_id"), F.col("check").alias("check_name"), "severity", F.col("count").alias("n"))
 
 
@@ -655,15 +679,15 @@ starts as (select s::varchar as instance_id, 'nations/nation_' || n || '.py::sup
 one as (select instance_id, b as name from starts join hops on a = name),
 near as (select * from starts union select * from one),
 two as (select instance_id, b as name from one join hops on a = name),
-linked as (select distinct instance_id, c.* from near join chosen c on c.source = name or c.target = name),
+linked as (select instance_id, c.* from near join chosen c on c.source = name union select instance_id, c.* from near join chosen c on c.target = name),
 imported as (select instance_id, e.* from starts join gedges e on e.source = name and e.relation in ('depends_on', 'module_depends_on')),
 inside as (select * from near union select * from two union select instance_id, target from imported)"""
 
 
-@query(f"with {CONTEXT} select i.instance_id, i.name, case when s.name is null then 'context' else 'seed' end as role from inside i left join starts s on s.instance_id = i.instance_id and s.name = i.name")
+@query(f"with {CONTEXT} select i.instance_id, i.name, case when s.name is null then 'context' else 'seed' end as role from inside i left join starts s on s.instance_id = i.instance_id and s.name = i.name union all select l.instance_id, l.source, 'test' from linked l join starts s on s.instance_id = l.instance_id and s.name = l.target where l.relation = 'tests'")
 def context_nodes(spark, sf_dir):
     graph, contexts = _contexts(spark, sf_dir)
-    return contexts.nodes.filter("role <> 'test'").join(_named(graph.nodes), "id").select("instance_id", F.col("qname").alias("name"), "role")
+    return contexts.nodes.join(_named(graph.nodes), "id").select("instance_id", F.col("qname").alias("name"), "role")
 
 
 @query(f"with {CONTEXT} select instance_id, source, target, relation from linked union all select instance_id, source, target, relation from imported")
@@ -721,3 +745,99 @@ def context_histogram(spark, sf_dir):
 )
 def context_counts(spark, sf_dir):
     return _contexts(spark, sf_dir)[1].counts().select("instance_id", "num_seeds", "num_context_nodes", "num_edges", "num_test_nodes")
+
+
+# --- names that several classes have, factories, local types, handlers, docstrings
+
+EXTRAS = """
+extra as (select n_nationkey as n, 'extras/extra_' || n_nationkey || '.py' as f, 'stubs/nation_' || n_nationkey || '.py::Nation' || n_nationkey as stub from nation)"""
+
+
+@query(
+    f"""with {EXTRAS}
+    select f || '::Keeper' || n || '.fill' as source, f || '::make_' || n as target, 'calls' as relation, 'exact' as confidence, cast(null as varchar) as source_tool from extra
+    union all select f || '::make_' || n, unnest([stub, stub || '.build']), 'calls', 'qualified', null from extra
+    union all select k.f || '::Keeper' || k.n, t.f || '::Twin', unnest(['inherits', 'uses']), case when (select count(*) from extra) = 1 then 'exact' else 'ambiguous' end, null from extra k, extra t
+    union all select f || '::Keeper' || n, stub, 'uses', 'exact', 'pyright' from extra"""
+)
+def extra_edges(spark, sf_dir):
+    graph = P.extra_graph(spark, sf_dir)
+    names = _named(graph.nodes)
+    edges = graph.edges.filter("relation in ('calls', 'inherits', 'uses', 'accesses', 'overrides')")
+    ends = edges.join(names.select(F.col("id").alias("source"), F.col("qname").alias("s")), "source").join(names.select(F.col("id").alias("target"), F.col("qname").alias("t")), "target")
+    return ends.select(F.col("s").alias("source"), F.col("t").alias("target"), "relation", "confidence", "source_tool")
+
+
+@query(
+    f"""with {EXTRAS}
+    select f || '::Keeper' || n || '.fill' as name, 'Fill keeper ' || n || '.' as docstring, '' as catches, 'self.seen' as return_types, 'count' as writes, 'count=item' as changes from extra
+    union all select f || '::Keeper' || n || '.twin', null, '', 'Twin()', '', '' from extra
+    union all select f || '::Other' || n || '.fill', null, '', 'bool', '', '' from extra
+    union all select f || '::make_' || n, 'Make nation ' || n || '.', 'ValueError', 'None,built', '', '' from extra
+    union all select f || '::Twin.__init__', null, '', '', 'seen', 'seen=0' from extra"""
+)
+def extra_functions(spark, sf_dir):
+    nodes = P.extra_graph(spark, sf_dir).nodes.filter("filepath like 'extras/%' and type in ('function', 'method')")
+    text = lambda c: F.array_join(F.array_sort(c), ",")
+    changes = F.array_join(F.transform(F.map_entries("data_flows.mutates_attributes"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ",")
+    return nodes.join(_named(nodes), "id").select(
+        F.col("qname").alias("name"), "docstring", text("catches").alias("catches"), text("return_types").alias("return_types"), text("side_effects").alias("writes"), changes.alias("changes")
+    )
+
+
+@query(f"select 'extras/extra_' || n_nationkey || '.py' as path, {P.SITE[0]} as line, {P.SITE[1]} as col, 'Keeper' || n_nationkey as owner, 'Nation' || n_nationkey as type_name from nation")
+def factory_sites(spark, sf_dir):
+    """Assignments from factories, with what a type checker says of them."""
+    found = parse.sites(parse.parse_files(P.extra_files(spark, sf_dir))).join(P.extra_types(spark, sf_dir), ["repo", "commit", "path", "line", "col"])
+    owners = P.extra_graph(spark, sf_dir).nodes.select(F.col("id").alias("source_id"), F.col("label").alias("owner"))
+    return found.join(owners, "source_id").select("path", "line", "col", "owner", F.col("type").alias("type_name"))
+
+
+@query(f"with {EXTRAS} select n::varchar as instance_id, f || '::Keeper' || n || '.fill' as name from extra")
+def settled_seeds(spark, sf_dir):
+    """Of two methods of one name in a file, the one in the class that the diff shows."""
+    nodes = P.extra_graph(spark, sf_dir).nodes
+    return seeds_of(P.extra_diffs(spark, sf_dir), nodes).join(_named(nodes), "id").select("instance_id", F.col("qname").alias("name"))
+
+
+# --- stored graphs and contexts, read back
+
+
+@query(f"with {GEN} select relation, coalesce(confidence, '') as confidence, count(*) as n from gedges group by all")
+def stored_graph(spark, sf_dir):
+    folder = new_path(spark, "stored")
+    store.save_graph(P.generated_graph(spark, sf_dir), folder)
+    loaded = store.load_graph(spark, folder, P.REPO, P.COMMIT)
+    return loaded.edges.groupBy("relation", F.coalesce("confidence", F.lit("")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scratch_file(spark, label: str) -> Path:
+    """A place for files that the driver writes itself, in the shared folder where that is a plain one."""
+    return Path(new_path(spark, label).removeprefix("file://").removeprefix("file:"))
+
+
+@query(
+    f"""with {EXTRAS} select 'Twin' as label, 'class' as type, '' as docstring, count(*) as n from extra
+    union all select 'Keeper' || n, 'class', '', 1 from extra union all select 'Other' || n, 'class', '', 1 from extra
+    union all select 'make_' || n, 'function', 'Make nation ' || n || '.', 1 from extra union all select 'fill', 'method', 'Fill keeper ' || n || '.', 1 from extra
+    union all select 'fill', 'method', '', count(*) from extra union all select 'twin', 'method', '', count(*) from extra union all select '__init__', 'method', '', count(*) from extra"""
+)
+def exported_graph(spark, sf_dir):
+    """The graph as JSON documents, read back."""
+    folder = _scratch_file(spark, "json")
+    store.export_graph_json(P.extra_graph(spark, sf_dir), str(folder))
+    nodes = store.import_graph_json(spark, folder.as_uri(), P.REPO, P.COMMIT).nodes.filter("filepath like 'extras/%'")
+    return nodes.groupBy("label", "type", F.coalesce("docstring", F.lit("")).alias("docstring")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""with {CONTEXT}, asked as (select * from starts where instance_id = '1')
+    select 'seed' as role, name from asked
+    union all select 'context', i.name from inside i join asked s using (instance_id) where i.name <> s.name
+    union all select 'test', l.source from linked l join asked s on s.instance_id = l.instance_id and s.name = l.target where l.relation = 'tests'"""
+)
+def stored_context(spark, sf_dir):
+    graph, contexts = _contexts(spark, sf_dir)
+    path = _scratch_file(spark, "context") / "context.json"
+    store.save_context(contexts, "1", str(path))
+    return store.load_context(spark, path.as_uri()).nodes.join(_named(graph.nodes), "id").select("role", F.col("qname").alias("name"))
