@@ -21,8 +21,6 @@ from treeloom.functions import naming
 from treeloom.plans.staging import ship
 
 COMMAND = ("pyright-langserver", "--stdio")
-#: Messages that are read while waiting for one answer.
-PATIENCE = 50
 
 
 def available() -> bool:
@@ -54,11 +52,10 @@ class Connection:
     def ask(self, method: str, params: dict) -> dict | None:
         self.last += 1
         self.send(id=self.last, method=method, params=params)
-        for _ in range(PATIENCE):
-            message = self.receive()
-            if message is None or message.get("id") == self.last:
-                return message
-        return None
+        # servers send any number of notes before an answer
+        while (message := self.receive()) is not None and message.get("id") != self.last:
+            pass
+        return message
 
 
 def hover_text(response: dict | None) -> str | None:
