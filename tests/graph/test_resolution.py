@@ -4,7 +4,7 @@ All trees are snapshots of one table and are built together.
 """
 
 import pytest
-from graph.helpers import Names, dedent
+from graph.helpers import Names, build, dedent
 
 from treeloom.build import build_graph
 from treeloom.functions import schemas
@@ -226,3 +226,24 @@ def test_ids_and_call_context(trees):
 def test_no_relation_but_the_known_ones(trees):
     known = {"contains", "imports", "depends_on", "calls", "accesses", "inherits", "tests", "uses", "overrides", "module_depends_on"}
     assert {e["relation"] for g in trees.values() for e in g.edges} <= known
+
+
+def test_entities_whose_ids_begin_alike_stay_apart(spark):
+    """The MD5s of these two files have the same first eight digits."""
+    from treeloom.functions.pysource import entity_id
+
+    first = {}
+    for path in (f"customers/customer_{n}.py" for n in range(400_000)):
+        other = first.setdefault(entity_id(f"file_acme/demo_{path}")[:8], path)
+        if other != path:
+            break
+    pair = (other, path)
+    g = build(spark, {p: "import json\n\n\ndef own():\n    return json\n" for p in pair} | {"third.py": "x = 1\n"})
+    assert {k for k in map(g.name, g.nodes)} == {*pair, "third.py", "import json", *(f"{p}::own" for p in pair)}
+    assert g.of("contains") == {(p, f"{p}::own") for p in pair} and g.of("imports") == {(p, "import json") for p in pair}
+    assert {len(g.node(p)["id"]) for p in pair} == {32} and len(g.node("third.py")["id"]) == 8
+
+
+def test_files_of_any_length_are_parsed_if_asked(spark):
+    g = build(spark, {"long.py": "\n" * 6000 + "def far():\n    return 1\n"}, max_lines=None)
+    assert g.node("long.py::far")["lineno"] == 6001 and g.graph.meta.first()["parsed_count"] == 1
