@@ -88,3 +88,38 @@ def test_lookups(spark):
     part = graph.export_subgraph(["c", "nobody"])
     assert ids(part.nodes) == ["c", "m"] and part.edges.count() == 2 and ids(part.find_callers("m")) == []
     assert [tuple(r) for r in graph.edge_histogram().collect()] == [("calls", 3), ("contains", 3), ("uses", 1)]
+
+
+@pytest.mark.parametrize("listed", [64, 0])
+def test_lines_of_many_searches_against_brute_force(spark, monkeypatch, listed):
+    """Hubs that all searches are at, edges with both ends near, a loop, an unknown start and an unknown end."""
+    monkeypatch.setattr(T, "_LISTED", listed)
+    rng = random.Random(5)
+    known = [f"n{i}" for i in range(30)]
+    edges = {(f"n{i}", "n0", "calls") for i in range(1, 30)} | {("n0", f"n{i}", "contains") for i in range(1, 9)}
+    edges |= {(rng.choice(known), rng.choice(known), rng.choice(["calls", "uses"])) for _ in range(40)} | {("n3", "n3", "calls"), ("n4", "gone", "uses"), ("lost", "n5", "uses")}
+    starts = [(f"s{i}", f"n{i}") for i in range(12)] + [("s12", "lost"), ("s0", "n7")]
+    nodes = spark.createDataFrame([(n,) for n in known], "id string")
+    frame = spark.createDataFrame(sorted(edges), "source string, target string, relation string")
+    reach = T.distances(spark.createDataFrame(starts, "start string, id string"), nodes, frame, 2, by=["start"])
+    inner = {(r["start"], r["id"]) for r in reach.filter("dist < 2").collect()}
+    want = {(s, a, b, r) for s, _ in starts for a, b, r in edges if ((s, a) in inner and b in known) or ((s, b) in inner and a in known)}
+    lines = T.lines_of(reach, nodes, frame, 2, by=["start"])
+    rows = [(r["start"], r["source"], r["target"], r["relation"]) for r in lines.rows().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    tally = {}
+    for s, _, _, r in want:
+        tally[s, r] = tally.get((s, r), 0) + 1
+    assert {(r["start"], r["relation"]): r["n"] for r in lines.tally().collect()} == tally
+    pairs = spark.createDataFrame([("s1", "n0"), ("s2", "n9")], "start string, id string")
+    at = {(r["start"], r["source"], r["target"], r["relation"]) for r in lines.at(pairs, "target").collect()}
+    assert at == {w for w in want if (w[0], w[2]) in {("s1", "n0"), ("s2", "n9")}}
+
+
+def test_lines_of_searches_are_made_last(spark, graph):
+    """No row of a search and an edge is moved: the plan ends in joins of what is stored."""
+    starts = spark.createDataFrame([("a", "n1"), ("b", "n2")], "start string, id string")
+    reach = T.distances(starts, graph.nodes, graph.edges, 2, by=["start"])
+    lines = T.lines_of(reach, graph.nodes, graph.edges, 2, by=["start"]).rows()
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and plan.splitlines()[0].startswith("Union")
