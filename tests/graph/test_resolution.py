@@ -4,7 +4,7 @@ All trees are snapshots of one table and are built together.
 """
 
 import pytest
-from graph.helpers import Names, build, dedent
+from graph.helpers import Names, build, dedent, files
 
 from treeloom.build import build_graph
 from treeloom.functions import schemas
@@ -247,3 +247,11 @@ def test_entities_whose_ids_begin_alike_stay_apart(spark):
 def test_files_of_any_length_are_parsed_if_asked(spark):
     g = build(spark, {"long.py": "\n" * 6000 + "def far():\n    return 1\n"}, max_lines=None)
     assert g.node("long.py::far")["lineno"] == 6001 and g.graph.meta.first()["parsed_count"] == 1
+
+
+def test_parsing_leaves_out_no_file_unless_asked(spark):
+    from treeloom.operators import parse
+
+    long = files(spark, {"long.py": "\n" * 6000 + "def far():\n    return 1\n"})
+    labels = lambda **o: {r["label"] for r in parse.parse_lazily(long, **o).filter("kind = 'entity'").select("entity.label").collect()}
+    assert labels() == {"long.py", "far"} and labels(max_lines=5000) == set()

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from treeloom.build import build_graph
+from treeloom.functions import pysource
 from treeloom.operators.parse import parse_lazily
 from treeloom.sources.store import save_graph
 
 
 def parse_stream(files: DataFrame) -> DataFrame:
     """Parsing has no state: the same rows as in batch, for a stream of files."""
-    return parse_lazily(files)
+    return parse_lazily(files, pysource.MAX_LINES)
 
 
 def graph_stream(files: DataFrame, files_folder: str, graph_folder: str) -> DataStreamWriter:
