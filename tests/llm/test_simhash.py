@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -84,6 +85,18 @@ def test_pivots_never_discard_a_near_pair():
     assert (S.unpack(packed[:, 0].copy(), packed[:, 1].copy())[:300] == base).all()
 
 
+def test_pivot_rows_are_made_in_little_more_memory_than_they_fill():
+    rng = np.random.RandomState(5)
+    hi, lo = rng.randint(-(2**62), 2**62, (2, 50_000))
+    tracemalloc.start()
+    table = S.pivot_table(hi, lo, S.references())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * table.nbytes
+    at = np.arange(0, 50_000, 4999)
+    assert (table[at] == S.pivot_table(hi[at], lo[at], S.references())).all()
+
+
 def test_links_in_small_and_large_buckets_agree():
     rng = np.random.RandomState(3)
     centers = rng.randint(0, 2, (6, S.BITS))

@@ -212,9 +212,16 @@ def references(seed: int = 11) -> np.ndarray:
 
 
 def pivot_table(hi: np.ndarray, lo: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distance of every fingerprint to every reference, one byte each."""
-    signs = unpack(hi, lo).astype(np.float32) * 2 - 1
-    return ((BITS - signs @ refs.T) / 2).astype(np.uint8)
+    """Hamming distance of every fingerprint to every reference, one byte each.
+
+    Made in slices: the products in floats take some fourteen times the memory of the table.
+    """
+    table = np.empty((len(hi), len(refs)), np.uint8)
+    for at in range(0, len(hi), 4096):
+        own = slice(at, at + 4096)
+        signs = unpack(hi[own], lo[own]).astype(np.float32) * 2 - 1
+        table[own] = (BITS - signs @ refs.T) / 2
+    return table
 
 
 def hamming(hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
