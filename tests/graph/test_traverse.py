@@ -4,6 +4,8 @@ import pytest
 
 from treeloom.operators import traverse as T
 from treeloom.operators.graph import CodeGraph
+from treeloom.plans.queries import QUERIES
+from treeloom.plans.staging import staged
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +125,37 @@ def test_lines_of_searches_are_made_last(spark, graph):
     lines = T.lines_of(reach, graph.nodes, graph.edges, 2, by=["start"]).rows()
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and plan.splitlines()[0].startswith("Union")
+
+
+@pytest.mark.parametrize("directions", [T.BOTH, ("outgoing",), ("incoming",)])
+def test_edges_of_many_searches_listed_with_their_ends(spark, directions):
+    """Repeated edges, a loop, an unknown start and an unknown end; edges with both ends near come once."""
+    edges = [("n1", "n2", "calls"), ("n1", "n2", "calls"), ("n2", "n1", "calls"), ("n2", "n3", "uses"), ("n3", "n3", "calls"), ("n1", "gone", "uses"), ("lost", "n3", "uses")]
+    nodes = spark.createDataFrame([("n1",), ("n2",), ("n3",)], "id string")
+    frame = spark.createDataFrame(edges, "source string, target string, relation string")
+    starts = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("c", "lost"), ("a", "n2")], "start string, id string")
+    reach = T.distances(starts, nodes, frame, 2, directions, by=["start"])
+    inner = {(r["start"], r["id"]) for r in reach.filter("dist < 2").collect()}
+    known = {"n1", "n2", "n3"}
+    ahead = lambda s, x, y: "outgoing" in directions and (s, x) in inner and y in known
+    back = lambda s, x, y: "incoming" in directions and (s, y) in inner and x in known
+    want = sorted({(s, x, y, r) for s in "abc" for x, y, r in edges if ahead(s, x, y) or back(s, x, y)})
+    with staged() as tables:
+        found = T.traversed(reach, nodes, frame, 2, directions, by=["start"])
+    assert sorted((r["start"], r["source"], r["target"], r["relation"]) for r in found.collect()) == want
+    assert len(tables) == 1  # the searches at each node; no copies of the edges
+
+
+def test_queries_of_the_star_read_only_the_tables_of_their_relation(spark, sf):
+    read = {f.rsplit("/", 1)[-1] for f in QUERIES["class_methods"](spark, sf).inputFiles()}
+    assert read <= {f"{t}.parquet" for t in ("region", "nation", "supplier", "customer", "orders", "part")}
+
+
+def test_few_seeds_go_to_the_edges(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["export_one_hop"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = plan.split("lineitem.parquet")[0]
+    assert plan.count("BroadcastHashJoin") >= 8 and "BroadcastHashJoin" in scans
