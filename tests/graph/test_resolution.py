@@ -8,6 +8,9 @@ from graph.helpers import Names, build, dedent, files
 
 from treeloom.build import build_graph
 from treeloom.functions import schemas
+from treeloom.plans import projections
+from treeloom.plans.queries import QUERIES
+from treeloom.plans.staging import staged
 
 TREES = {
     "bare/same-file": {
@@ -255,3 +258,10 @@ def test_parsing_leaves_out_no_file_unless_asked(spark):
     long = files(spark, {"long.py": "\n" * 6000 + "def far():\n    return 1\n"})
     labels = lambda **o: {r["label"] for r in parse.parse_lazily(long, **o).filter("kind = 'entity'").select("entity.label").collect()}
     assert labels() == {"long.py", "far"} and labels(max_lines=5000) == set()
+
+
+def test_constants_of_files_need_no_resolved_graph(spark, sf, monkeypatch):
+    monkeypatch.setattr(projections, "_GRAPHS", {})
+    with staged() as tables:
+        found = QUERIES["file_constants"](spark, sf)
+    assert tables == [] and {r["constants"] for r in found.collect()} == {f"REGION={i}" for i in range(5)}
