@@ -64,6 +64,55 @@ def test_cycles_against_brute_force(spark):
     assert {int(r["id"]) for r in T.cycle_members(frame).collect()} == want
 
 
+def on_cycles(edges):
+    reach = {}
+    for a, b in edges:
+        reach.setdefault(a, set()).add(b)
+    found = set()
+    for start in reach:
+        seen, todo = set(), list(reach[start])
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += reach.get(at, ())
+        if start in seen:
+            found.add(start)
+    return found
+
+
+#: The cycle of 2, 20, 21 and 22 only shows when all edges are read: 2 has lesser and greater ids on both sides.
+BETWEEN = [(a, b) for a in range(5) for b in range(5, 9)] + [(2, 20), (20, 21), (21, 22), (22, 2)] + [(2, b) for b in range(10, 19)] + [(2, b) for b in range(30, 39)] + [(b, 2) for b in range(40, 44)]
+
+
+@pytest.mark.parametrize("case, rounds", [("dense", 24), ("sparse", 24), ("chain", 24), ("between", 24), ("dense", 0)])
+def test_cycles_of_thinned_edges_are_those_of_all(spark, monkeypatch, case, rounds):
+    monkeypatch.setattr(T, "_ROUNDS", rounds)
+    rng = random.Random(5)
+    edges = {
+        "dense": [(rng.randrange(40), rng.randrange(40)) for _ in range(600)] + [(50, 51), (51, 3), (7, 60), (60, 61)],
+        "sparse": [(rng.randrange(80), rng.randrange(80)) for _ in range(110)],
+        "chain": [(c + a, c + b) for c in range(0, 50, 10) for a in range(6) for b in range(6) if a != b] + [(5, 17), (17, 18), (18, 19), (19, 20), (21, 33), (33, 0)],
+        "between": BETWEEN,
+    }[case]
+    frame = spark.createDataFrame([(a, b, "calls") for a, b in edges], "source long, target long, relation string")
+    assert {r["id"] for r in T.cycle_members(frame).collect()} == on_cycles(edges)
+
+
+def test_rounds_of_a_search_for_cycles_move_few_edges(spark, monkeypatch):
+    """Each of 60 nodes has 59 ways out; after edges are read once, at most four of each node are moved."""
+    edges = [(a, b, "uses") for a in range(60) for b in range(60) if a != b]
+    moved, stored = [], T.materialize
+
+    def counted(df, label):
+        table = stored(df, label)
+        moved.append(table.count())
+        return table
+
+    monkeypatch.setattr(T, "materialize", counted)
+    found = T.cycle_members(spark.createDataFrame(edges, "source long, target long, relation string"))
+    assert found.count() == 60 and moved[0] == len(edges) and max(moved[1:]) <= 4 * 60
+
+
 def test_contained_trees_have_no_cycle(spark, graph):
     assert T.cycle_members(graph.edges).count() == 0
     loop = spark.createDataFrame([("a", "b", "contains"), ("b", "a", "contains")], graph.edges.schema)

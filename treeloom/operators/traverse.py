@@ -224,6 +224,10 @@ def bfs(start_ids: list[str], nodes: DataFrame, edges: DataFrame, depth: int = 2
     return reach, traversed(reach, nodes, chosen, depth, directions)
 
 
+#: Rounds after which thinned edges are given up, and all edges are searched.
+_ROUNDS = 24
+
+
 def cycle_members(edges: DataFrame, relations=DEPENDENCIES, source: str = "source", target: str = "target") -> DataFrame:
     """``(id)`` of every node that lies on a cycle (self-loops too).
 
@@ -233,33 +237,68 @@ def cycle_members(edges: DataFrame, relations=DEPENDENCIES, source: str = "sourc
     component.  Components are taken out and the rest is coloured again.  Memory is
     linear in the edges, whatever the size of a component; rounds follow the
     graph's diameter.
+
+    Rounds first run on at most four edges of each node: what is strongly connected by
+    some edges is so by all.  If that leaves nodes that might be on a cycle, all edges
+    are searched, between the components found so far.  Ids may be of any ordered type.
     """
     chosen = allowed(edges, relations) if relations is not None else edges
-    whole = chosen.select(F.col(source).alias("u"), F.col(target).alias("v")).distinct()
-    live = materialize(whole, "live")
-    found = live.filter("u = v").select(F.col("u").alias("id"))
-    live = _trim(materialize(live.filter("u <> v"), "live"))
+    whole = materialize(chosen.select(F.col(source).alias("u"), F.col(target).alias("v")), "pairs")
+    found = whole.filter("u = v").select(F.col("u").alias("id"))
+    whole = whole.filter("u <> v")
+    ways = [whole.groupBy(a).agg(F.min(b).alias("least"), F.max(b).alias("most")) for a, b in (("u", "v"), ("v", "u"))]
+    out, into = (materialize(w, "ends") for w in ways)
+    ends = F.explode(F.array("least", "most"))
+    thin = materialize(out.select("u", ends.alias("v")).union(into.select(ends.alias("u"), "v")).distinct(), "thin")
+    if thin.count() == whole.count():  # these are all edges
+        live = _trim(thin)
+    else:
+        live = _trim(thin, _ROUNDS)
+        joined = materialize(_several(_taken(live, _ROUNDS)), "joined")
+        found = found.union(joined.select("id"))
+        loose = out.select(F.col("u").alias("id")).join(into.select(F.col("v").alias("id")), "id", "left_semi").join(joined.select("id"), "id", "left_anti")
+        if loose.isEmpty():
+            return found.distinct()
+        rest = whole
+        for end in ("u", "v"):
+            rest = rest.join(joined.select(F.col("id").alias(end), F.col("color").alias(f"{end}_color")), end, "left")
+        rest = rest.select(*[F.coalesce(f"{end}_color", end).alias(end) for end in ("u", "v")])
+        live = _trim(materialize(rest.filter("u <> v").distinct(), "live"))
     while not live.isEmpty():
-        colors = _colors(live)
-        inside = live.join(colors.select(F.col("id").alias("u"), "color"), "u").join(colors.select(F.col("id").alias("v"), F.col("color").alias("c")), "v").filter("color = c")
-        inside = materialize(inside.select("u", "v"), "colored")
-        frontier = taken = materialize(colors.filter("id = color"), "taken")
-        while not frontier.isEmpty():
-            step = inside.join(frontier.select(F.col("id").alias("v"), "color"), "v").select(F.col("u").alias("id"), "color").distinct()
-            frontier = materialize(step.join(taken.select("id"), "id", "left_anti"), "taken")
-            taken = taken.unionByName(frontier)
-        sizes = taken.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = found.union(taken.join(sizes, "color", "left_semi").select("id"))
+        taken = _taken(live)
+        found = found.union(_several(taken).select("id"))
         gone = taken.select("id")
         rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
         live = _trim(materialize(rest.select("u", "v"), "live"))
     return found.distinct()
 
 
-def _trim(live: DataFrame) -> DataFrame:
-    """Edges left when nodes without a way in or without a way out are removed, again and again."""
-    n = live.count()
-    while n:
+def _taken(live: DataFrame, most: int | None = None) -> DataFrame:
+    """``(id, color)``: for each colour of the edges the component of its own node; none if colouring takes over ``most`` rounds."""
+    colors = _colors(live, most)
+    if colors is None:
+        return live.select(F.col("u").alias("id"), F.col("u").alias("color")).limit(0)
+    inside = live.join(colors.select(F.col("id").alias("u"), "color"), "u").join(colors.select(F.col("id").alias("v"), F.col("color").alias("c")), "v").filter("color = c")
+    inside = materialize(inside.select("u", "v"), "colored")
+    frontier = taken = materialize(colors.filter("id = color"), "taken")
+    while not frontier.isEmpty():
+        step = inside.join(frontier.select(F.col("id").alias("v"), "color"), "v").select(F.col("u").alias("id"), "color").distinct()
+        frontier = materialize(step.join(taken.select("id"), "id", "left_anti"), "taken")
+        taken = taken.unionByName(frontier)
+    return taken
+
+
+def _several(taken: DataFrame) -> DataFrame:
+    """The components of more than one node."""
+    sizes = taken.groupBy("color").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return taken.join(sizes, "color", "left_semi").select("id", "color")
+
+
+def _trim(live: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges left when nodes without a way in or without a way out are removed, again and again (``most`` times)."""
+    n, rounds = live.count(), 0
+    while n and rounds != most:
+        rounds += 1
         both = live.select(F.col("u").alias("x")).distinct().join(live.select(F.col("v").alias("x")), "x", "left_semi")
         kept = live.join(both.withColumnRenamed("x", "u"), "u", "left_semi").join(both.withColumnRenamed("x", "v"), "v", "left_semi")
         before, live = live, materialize(kept.select("u", "v"), "live")
@@ -271,11 +310,14 @@ def _trim(live: DataFrame) -> DataFrame:
     return live
 
 
-def _colors(live: DataFrame) -> DataFrame:
-    """``(id, color)``: the largest id from which each node can be reached, itself included."""
+def _colors(live: DataFrame, most: int | None = None) -> DataFrame | None:
+    """``(id, color)``: the largest id from which each node can be reached, itself included; None if ``most`` rounds don't do."""
     colors = frontier = materialize(live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("color", F.col("id")), "colors")
-    last = colors
+    last, rounds = colors, 0
     while not frontier.isEmpty():
+        if rounds == most:
+            return None
+        rounds += 1
         offered = live.join(frontier.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.max("color").alias("offered"))
         marked = materialize(colors.join(offered, "id", "left").select("id", F.greatest("color", "offered").alias("color"), (F.col("offered") > F.col("color")).alias("moved")), "colors")
         release(last)
